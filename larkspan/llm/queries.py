@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from larkspan.llm import exact, quality, urls
+from larkspan.llm import exact, packing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_quality": quality.op2_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op8_secret_scan": secrets.op8_secret_scan,
 }
 
 ORACLE_SQL = {
