@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from larkspan.llm import exact, packing, quality, secrets, toxicity, urls
+from larkspan.llm import exact, jaccard, packing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -9,8 +9,10 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op7_exact_dedup": exact.OP7_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
 }
