@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from larkspan.llm import exact, jaccard, packing, quality, secrets, toxicity, urls
+from larkspan.llm import exact, jaccard, packing, paragraphs, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_paragraph_dedup": paragraphs.op10_paragraph_dedup,
 }
 
 ORACLE_SQL = {
