@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
         inverse = _U(pow(int(_BASE), -1, 1 << 64))
@@ -40,7 +40,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[buf]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     begins, ends = edges[::2], edges[1::2]
-    powers, inverses = _power_tables(len(buf) + 1)
+    powers, inverses = power_tables(len(buf) + 1)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(buf.astype(_U) * powers[: len(buf)])])
     hashes = mix((total[ends] - total[begins]) * inverses[begins] + (ends - begins).astype(_U))
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])
