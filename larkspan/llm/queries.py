@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from larkspan.llm import exact, jaccard, packing, paragraphs, quality, secrets, substrings, toxicity, urls
+from larkspan.llm import decontaminate, exact, jaccard, packing, paragraphs, quality, secrets, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_quality": quality.op2_quality,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
