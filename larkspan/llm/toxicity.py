@@ -176,6 +176,27 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Lexicon:
     return Lexicon(most_telling({r["form"]: (r["t"], r["w"]) for r in picked}))
 
 
+def learned(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> Lexicon:
+    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), text_of(text).alias("text"))
+    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("label IN (0, 1)")
+    return fit(plain, known.where(~F.coalesce(fold("id", 5) == 0, F.lit(False))))
+
+
+def _scorer(docs: DataFrame, lexicon: Lexicon):
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.score(t) for t in texts], dtype="float64")
+
+    return F.pandas_udf(scored, "double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """``docs`` without those that score 0.5 or more; its columns, whatever their names, stay as they are."""
+    score = _scorer(docs, learned(docs, labels, doc_id, text, label))
+    return docs.where(score(text_of(text)) < 0.5)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``docs`` with held_out and score; ``labels`` has the id and the label 0 or 1.
 
@@ -185,14 +206,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     threats matches; columns of ``docs`` named held_out or score are replaced; an empty table gives no row.
     """
     held_out = F.coalesce(fold(doc_id, 5) == 0, F.lit(False))
-    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), text_of(text).alias("text"))
-    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("label IN (0, 1)")
-    lexicon = docs.sparkSession.sparkContext.broadcast(fit(plain, known.where(~F.coalesce(fold("id", 5) == 0, F.lit(False)))))
-
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([lexicon.value.score(t) for t in texts], dtype="float64")
-
-    return docs.withColumns({"held_out": held_out, "score": F.pandas_udf(scored, "double")(text_of(text))})
+    score = _scorer(docs, learned(docs, labels, doc_id, text, label))
+    return docs.withColumns({"held_out": held_out, "score": score(text_of(text))})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
