@@ -30,6 +30,8 @@ _MUL = _U(0xD6E8FEB86659FD93)
 #: Anchors that one task ranks.
 TASK_ANCHORS = 2_000_000
 _POSITION = 20
+#: Contexts ranked at every byte at a time.
+STEP = 8000
 
 
 def anchors(body: bytes) -> tuple[np.ndarray, ...] | None:
@@ -73,7 +75,7 @@ def _number(raw: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _send_anchors(n: int, batch_anchors: int = 1_000_000):
+def _send_anchors(n: int, batch_anchors: int = 400_000):
     """The anchors of many documents, a parcel for each bucket of ranks: 19 bytes an anchor."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,6 +187,13 @@ def window_ranks(contexts: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def _own_windows(contexts: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and rank of each context's own windows."""
+    columns = np.arange(BACK + 1, dtype=np.int16)[None, :]
+    row, column = np.nonzero((columns >= first[:, None]) & (columns < (first + windows)[:, None]))
+    return row.astype(np.int32), column.astype(np.int16), window_ranks(contexts)[row, column]
+
+
 def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     """The windows of open anchors that repeat an earlier one's, as spans of bytes."""
     numbers = np.frombuffer(b"".join(group["numbers"]), "<i8").reshape(-1, 5)
@@ -194,13 +203,11 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     rank, ids, position, start, windows, contexts = (x[order] for x in (rank, ids, position, start, windows, contexts))
     starts, ends, owners = [], [], []
     a = 0
-    while a < len(rank):  # whole anchors' groups, about 50,000 contexts at a time
-        b = int(np.searchsorted(rank, rank[min(a + 50_000, len(rank)) - 1], side="right"))
-        first = (start[a:b] - position[a:b] + BACK)[:, None]
-        columns = np.arange(BACK + 1)[None, :]
-        own = (columns >= first) & (columns < first + windows[a:b][:, None])
-        row, column = np.nonzero(own)
-        names = window_ranks(contexts[a:b])[row, column]
+    while a < len(rank):  # whole anchors' groups, of STEP contexts or more
+        b = int(np.searchsorted(rank, rank[min(a + STEP, len(rank)) - 1], side="right"))
+        parts = [_own_windows(contexts[k : min(k + STEP, b)], start[k : min(k + STEP, b)] - position[k : min(k + STEP, b)] + BACK, windows[k : min(k + STEP, b)]) for k in range(a, b, STEP)]
+        row = np.concatenate([r + k * STEP for k, (r, _, _) in enumerate(parts)])
+        column, names = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         by_name = np.argsort(names, kind="stable")
         fresh = np.concatenate([[True], np.diff(names[by_name]) != 0])[: len(names)]
         head = by_name[np.maximum.accumulate(np.where(fresh, np.arange(len(names)), 0))]
