@@ -1,0 +1,114 @@
+"""Normalising of text, URLs and names."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+ZERO_WIDTH = "​‌‍﻿"
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref")
+
+
+def _lines(text: str | None, keep_one_blank: bool) -> str | None:
+    if text is None:
+        return None
+    text = unicodedata.normalize("NFC", text).translate({ord(c): None for c in ZERO_WIDTH})
+    lines = [" ".join(line.split()) for line in re.split(r"\r\n|\r|\n", text)]
+    if not keep_one_blank:
+        lines = [line for line in lines if line]
+    joined = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+    return joined or None
+
+
+def normalize_text(text: Column) -> Column:
+    """NFC without zero-width characters; white space collapsed in each line, blank lines gone, empty is null."""
+    return F.pandas_udf(lambda s: s.map(lambda t: _lines(t, False)), "string")(text)
+
+
+def normalize_multiline(text: Column) -> Column:
+    """As normalize_text, but one blank line stays between paragraphs."""
+    return F.pandas_udf(lambda s: s.map(lambda t: _lines(t, True)), "string")(text)
+
+
+def redact_emails(text: Column) -> Column:
+    return F.regexp_replace(text, EMAIL, "[email]")
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
+def canonical_url(url: Column, drop: tuple[str, ...] = TRACKING) -> Column:
+    """https with a lower-case host, no fragment, and without the named query parameters, the others in order."""
+    whole = F.regexp_replace(url, r"#.*$", "")
+    path = F.regexp_extract(whole, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)", 1)
+    query = F.regexp_extract(whole, r"\?(.*)$", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*drop)), "&")
+    return F.concat(F.lit("https://"), host_of(whole), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+
+
+class _Structured(HTMLParser):
+    """Text of an HTML page: scripts and styles go, headings, items and blocks begin new lines."""
+
+    HIDDEN = frozenset({"script", "style", "template", "noscript", "svg"})
+    BLOCKS = frozenset({"p", "div", "section", "article", "br", "ul", "ol", "table", "tr", "header", "footer", "main", "body", "title"})
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif re.fullmatch(r"h[1-6]", tag):
+            self.out.append("\n### ")
+        elif tag == "li":
+            self.out.append("\n- ")
+        elif tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in self.BLOCKS or tag == "li" or re.fullmatch(r"h[1-6]", tag):
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def _html_text(page: str | None) -> str | None:
+    if page is None:
+        return None
+    parser = _Structured()
+    parser.feed(page)
+    parser.close()
+    return _lines("".join(parser.out), True)
+
+
+def html_to_text(page: Column) -> Column:
+    """Structured text of an HTML page: ``### `` before headings, ``- `` before items."""
+
+    def convert(pages: pd.Series) -> pd.Series:
+        return pages.map(_html_text)
+
+    return F.pandas_udf(convert, "string")(page)
+
+
+def page_title(page: Column) -> Column:
+    """The text of the first title element, white space collapsed; null if there is none."""
+    found = F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return F.nullif(found, F.lit(""))
+
+
+def contains_text(column: Column, term: str) -> Column:
+    """Whether a column has a literal term, in either case; null doesn't."""
+    return F.coalesce(F.lower(column).contains(term.strip().lower()), F.lit(False))
