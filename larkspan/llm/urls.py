@@ -121,7 +121,8 @@ def ratio_scores(urls: pd.Series, table: np.ndarray) -> np.ndarray:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score from which on a URL is accepted: least sum of the two error rates on rows (score, accepted).
+    """The score from which on a URL is accepted: least sum of the two error rates on rows (score, accepted),
+    and of the scores with that the one nearest to 0.
 
     Only a histogram of BINS cells reaches the driver."""
     cell = F.least(F.greatest(F.floor(F.col("score") * (BINS / 8) + BINS / 2), F.lit(0)), F.lit(BINS - 1))
@@ -133,7 +134,7 @@ def threshold(scored: DataFrame) -> float:
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(n, 1)], 1) / n.sum(1, keepdims=True)
     errors = below[1] + 1 - below[0]
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    return float((best[len(best) // 2] - BINS / 2) / (BINS / 8))
+    return float((best[np.argmin(np.abs(best - BINS / 2))] - BINS / 2) / (BINS / 8))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, str]] = RULES) -> DataFrame:
