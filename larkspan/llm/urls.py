@@ -23,6 +23,8 @@ ORDER = 3
 #: Contexts seen fewer times than this take the shorter context's distribution.
 LEAST = 3
 BINS = 400
+#: Thresholds whose error rates sum to this much more than the least are as good.
+SLACK = 0.05
 _CODES = np.ones(256, np.int64)
 for _i, _c in enumerate(ALPHABET):
     _CODES[ord(_c)] = _i + 2
@@ -133,7 +135,7 @@ def threshold(scored: DataFrame) -> float:
         return 0.0
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(n, 1)], 1) / n.sum(1, keepdims=True)
     errors = below[1] + 1 - below[0]
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    best = np.flatnonzero(errors <= errors.min() + SLACK)
     return float((best[np.argmin(np.abs(best - BINS / 2))] - BINS / 2) / (BINS / 8))
 
 
