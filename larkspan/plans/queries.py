@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.functions import numeric, text, time
-from larkspan.operators import alerts, analytics, catalog, evaluate, health, limits, match, quality, rows, search
+from larkspan.functions import jobs, numeric, text, time
+from larkspan.operators import alerts, analytics, candidates, catalog, evaluate, health, limits, match, quality, rows, search
+from larkspan.sources.shared import shared_path
 from larkspan.sources.tables import table
+from larkspan.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -409,3 +411,66 @@ SELECT c_custkey, first_seen, last_seen, n FROM (SELECT o_custkey AS c_custkey,
 """)
 def first_and_last_seen(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("first_seen"), F.max("o_orderdate").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+
+
+def _streamed(spark, d: str, name: str, transform) -> DataFrame:
+    """All of a table as a stream, through a stateful operator into a table in the shared folder."""
+    # a pattern, as a table may be one file or a folder
+    source = spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
+    out, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-state")
+    result = transform(source)
+    run = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
+
+
+@query(ORACLE_SQL["upsert_outcomes"].replace("PARTITION BY l_partkey, l_suppkey", "PARTITION BY l_suppkey"))
+def stream_upsert_outcomes(spark, d):
+    key, at = F.col("l_suppkey"), F.col("l_shipdate")
+    place = F.concat_ws(":", F.lpad(F.col("l_orderkey").cast("string"), 20, "0"), F.lpad(F.col("l_linenumber").cast("string"), 10, "0"))
+    seen = lambda s: s.select(key.alias("key"), at.alias("at"), place.alias("place"), F.concat("l_returnflag", "l_linestatus").alias("content"))
+    done = _streamed(spark, d, "lineitem", lambda s: state.stream_outcomes(seen(s), "key", "at", "place", "content"))
+    part = lambda k: F.split("place", ":")[k]
+    return done.select(part(0).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"), "outcome")
+
+
+@query()
+def text_facts(spark, d):
+    body = F.col("text")
+    facts = table(spark, d, "documents").select(
+        "doc_id", F.size(jobs.levels(body)).alias("levels"), jobs.location(body)["work_mode"].alias("work_mode"), F.size(jobs.skills(F.col("source"), body)).alias("skills"),
+        jobs.role(F.col("source"), body)["role"].alias("role"), jobs.experience(F.substring_index(body, "\n", 1))["warnings"].alias("experience"),
+        jobs.salary(F.substring_index(body, "\n", 1))["warnings"].alias("salary"),
+    )
+    return facts
+
+
+@query("""
+SELECT p_partkey AS doc_id, 'json' AS method, p_name AS title, p_brand AS company, 'https://shop.example.com/p/' || p_partkey AS url, CAST(p_partkey AS VARCHAR) AS external_id, p_type AS location, 0.9 AS confidence FROM part
+""")
+def document_candidates(spark, d):
+    record = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.concat(F.lit("/p/"), "p_partkey").alias("url"), F.col("p_partkey").alias("id"), F.col("p_type").alias("location"))
+    documents = table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.to_json(F.struct(F.array(record).alias("jobs"))).alias("payload"), F.lit("application/json").alias("content_type"), F.lit("https://shop.example.com/list").alias("base_url")
+    )
+    return candidates.parse_documents(documents).drop("description", "posted_at")
+
+
+@query("""
+SELECT n_regionkey, segment, orders, customers FROM (
+  SELECT n_regionkey, c_mktsegment AS segment, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM orders
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+""")
+def run_counters(spark, d):
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_regionkey", F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("c_custkey").alias("customers"))
+
+
+@query("""
+WITH v AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
+SELECT c_custkey, count(o_orderkey) AS open_orders, round(coalesce(sum(o_totalprice), 0.0), 2) AS open_price FROM customer LEFT JOIN v ON o_custkey = c_custkey GROUP BY 1
+""")
+def left_join_denominator(spark, d):
+    open_orders = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    joined = table(spark, d, "customer").select("c_custkey").join(open_orders, "c_custkey", "left")
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("open_orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("open_price"))
