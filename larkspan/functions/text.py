@@ -112,3 +112,16 @@ def page_title(page: Column) -> Column:
 def contains_text(column: Column, term: str) -> Column:
     """Whether a column has a literal term, in either case; null doesn't."""
     return F.coalesce(F.lower(column).contains(term.strip().lower()), F.lit(False))
+
+
+def path_segments(url: Column) -> Column:
+    """The parts of a URL's path that aren't empty."""
+    return F.filter(F.split(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+
+
+def common_prefix(segments: Column) -> Column:
+    """As an aggregate: the leading parts that all arrays share, which are those that the least and the greatest share."""
+    low, high = F.min(segments), F.max(segments)
+    upto = F.least(F.size(low), F.size(high))
+    shared = F.filter(F.sequence(F.lit(0), upto), lambda i: F.slice(low, F.lit(1), i) == F.slice(high, F.lit(1), i))
+    return F.concat(F.lit("/"), F.array_join(F.slice(low, F.lit(1), F.array_max(shared)), "/"))

@@ -31,3 +31,10 @@ def failure_streaks(runs: DataFrame, source: str, order: list[str], failed: Colu
 def status(streak: Column, quarantined: Column, unhealthy_at: int = 3) -> Column:
     """healthy, degraded, unhealthy or quarantined."""
     return F.when(quarantined, "quarantined").when(streak >= unhealthy_at, "unhealthy").when(streak > 0, "degraded").otherwise("healthy")
+
+
+def finalized(error: Column, processed: Column, found: Column, covered: Column) -> tuple[Column, Column]:
+    """(status, coverage) of a run: with an error it is partial if anything was processed and failed if not; only
+    a run that succeeded, covered its listing and found something is complete."""
+    status = F.when(~error, "succeeded").when(processed > 0, "partial").otherwise("failed")
+    return status, F.when((status == "succeeded") & covered & (found > 0), "complete").otherwise("incomplete")

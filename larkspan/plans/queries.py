@@ -474,3 +474,29 @@ def left_join_denominator(spark, d):
     open_orders = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
     joined = table(spark, d, "customer").select("c_custkey").join(open_orders, "c_custkey", "left")
     return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("open_orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("open_price"))
+
+
+@query(r"""
+WITH p AS (SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host,
+  list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages),
+m AS (SELECT host, count(*) AS pages, min(s) AS a, max(s) AS b FROM p GROUP BY host)
+SELECT host, pages, '/' || array_to_string(a[1:len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))], '/') AS prefix FROM m
+""")
+def path_prefix(spark, d):
+    pages = table(spark, d, "pages").select(text.host_of(F.col("url")).alias("host"), text.path_segments(F.col("url")).alias("s"))
+    return pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), text.common_prefix(F.col("s")).alias("prefix"))
+
+
+@query("""
+WITH r AS (SELECT c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS run, count(*) AS items, count(*) FILTER (WHERE o_orderstatus = 'F') AS processed,
+  count(*) FILTER (WHERE o_totalprice > 400000) AS failed FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT c_nationkey, run, CASE WHEN failed = 0 THEN 'succeeded' WHEN processed > 0 THEN 'partial' ELSE 'failed' END AS status,
+  CASE WHEN failed = 0 AND items > 0 AND processed > 0 THEN 'complete' ELSE 'incomplete' END AS coverage FROM r
+""")
+def finalized_runs(spark, d):
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    runs = joined.groupBy("c_nationkey", time.bucket_start(F.col("o_orderdate"), "month").alias("run")).agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(F.col("o_orderstatus") == "F").alias("processed"), F.count_if(F.col("o_totalprice") > 400000).alias("failed")
+    )
+    status, coverage = health.finalized(F.col("failed") > 0, F.col("processed"), F.col("items"), F.col("processed") > 0)
+    return runs.select("c_nationkey", "run", status.alias("status"), coverage.alias("coverage"))
