@@ -32,6 +32,8 @@ TASK_ANCHORS = 2_000_000
 _POSITION = 20
 #: Contexts ranked at every byte at a time.
 STEP = 8000
+#: The windows of an anchor with more open ones than this are dealt out one by one, by their rank.
+HOT = 2000
 
 
 def anchors(body: bytes) -> tuple[np.ndarray, ...] | None:
@@ -115,29 +117,34 @@ def _send_anchors(n: int, batch_anchors: int = 400_000):
     return send
 
 
-def _rank(group: pd.DataFrame) -> pd.DataFrame:
+def _rank(most: int):
     """Of the anchors that aren't unique: those that repeat an earlier one as far as a window can reach, and, as
-    open, the first of each such rank where the anchor has more than one."""
-    raw = lambda c, kind: np.frombuffer(b"".join(group[c]), kind)
-    ids = np.repeat(raw("ids", "<i8"), raw("counts", "<u4"))
-    rank, reach = _number(raw("ranks", np.uint8).reshape(-1, 6)), _number(raw("reaches", np.uint8).reshape(-1, 7))
-    position, sides = raw("positions", "<u4"), raw("sides", np.uint8).reshape(-1, 2)
-    by_rank = np.argsort(rank, kind="stable")
-    sizes = np.diff(np.append(starts := np.flatnonzero(np.concatenate([[True], np.diff(rank[by_rank]) != 0])), len(rank)))
-    again = by_rank[np.repeat(sizes, sizes) > 1]
-    ids, rank, reach, position, sides = ids[again], rank[again], reach[again], position[again], sides[again]
-    order = np.lexsort((position, ids, reach, rank))
-    ids, rank, reach, position, sides = ids[order], rank[order], reach[order], position[order], sides[order]
-    fresh_rank = np.concatenate([[True], np.diff(rank) != 0])[: len(rank)]
-    fresh = fresh_rank | np.concatenate([[True], np.diff(reach) != 0])[: len(rank)]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0)) if len(rank) else np.zeros(0, int)
-    repeats = (ids != ids[first]) | (position != position[first])
-    of_rank = np.cumsum(fresh_rank) - 1
-    kinds = np.bincount(of_rank, weights=fresh, minlength=1)
-    is_open = fresh & (kinds[of_rank] > 1) if len(rank) else fresh
-    keep = repeats | is_open
-    start = position.astype(np.int64) - sides[:, 0]
-    return pd.DataFrame({"id": ids, "start": start, "windows": sides[:, 1].astype(np.int32), "position": position.astype(np.int64), "rank": np.where(is_open, rank.astype(np.int64), -1)})[keep]
+    open, the first of each such rank where the anchor has more than one; as hot too where it has over ``most``."""
+
+    def rank_group(group: pd.DataFrame) -> pd.DataFrame:
+        raw = lambda c, kind: np.frombuffer(b"".join(group[c]), kind)
+        ids = np.repeat(raw("ids", "<i8"), raw("counts", "<u4"))
+        rank, reach = _number(raw("ranks", np.uint8).reshape(-1, 6)), _number(raw("reaches", np.uint8).reshape(-1, 7))
+        position, sides = raw("positions", "<u4"), raw("sides", np.uint8).reshape(-1, 2)
+        by_rank = np.argsort(rank, kind="stable")
+        sizes = np.diff(np.append(starts := np.flatnonzero(np.concatenate([[True], np.diff(rank[by_rank]) != 0])), len(rank)))
+        again = by_rank[np.repeat(sizes, sizes) > 1]
+        ids, rank, reach, position, sides = ids[again], rank[again], reach[again], position[again], sides[again]
+        order = np.lexsort((position, ids, reach, rank))
+        ids, rank, reach, position, sides = ids[order], rank[order], reach[order], position[order], sides[order]
+        fresh_rank = np.concatenate([[True], np.diff(rank) != 0])[: len(rank)]
+        fresh = fresh_rank | np.concatenate([[True], np.diff(reach) != 0])[: len(rank)]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0)) if len(rank) else np.zeros(0, int)
+        repeats = (ids != ids[first]) | (position != position[first])
+        of_rank = np.cumsum(fresh_rank) - 1
+        kinds = np.bincount(of_rank, weights=fresh, minlength=1)
+        is_open = fresh & (kinds[of_rank] > 1) if len(rank) else fresh
+        hot = is_open & (kinds[of_rank] > most) if len(rank) else is_open
+        keep = repeats | is_open
+        start = position.astype(np.int64) - sides[:, 0]
+        return pd.DataFrame({"id": ids, "start": start, "windows": sides[:, 1].astype(np.int32), "position": position.astype(np.int64), "rank": np.where(is_open, rank.astype(np.int64), -1), "hot": hot})[keep]
+
+    return rank_group
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -151,16 +158,23 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(pack, "id long, body binary")
 
 
+_SENT = "bucket int, kind int, numbers binary, contexts binary"
+_CONTEXTS, _WINDOWS, _SPANS = range(3)
+
+
 def _send_contexts(n: int):
+    """What is around the open anchors, to where their rank is resolved. Of a hot anchor the windows' ranks are
+    sent, the first of each in this batch alone; the others are spans to go already."""
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
+            rows, hot = [], []
             for key, body, marks in zip(batch["id"], batch["body"], batch["marks"]):
                 text = bytes(BACK) + unpress.decompress(body, max_output_size=1 << 31) + bytes(REACH)
                 for m in marks:
                     p = m["position"]
-                    rows.append((m["rank"] % n, m["rank"], key, p, m["start"], m["windows"], text[p : p + BACK + REACH]))
+                    (hot if m["hot"] else rows).append((m["rank"] % n, m["rank"], key, p, m["start"], m["windows"], text[p : p + BACK + REACH]))
             rows.sort(key=lambda r: r[0])
             out, a = [], 0
             while a < len(rows):
@@ -168,9 +182,22 @@ def _send_contexts(n: int):
                 while b < len(rows) and rows[b][0] == rows[a][0]:
                     b += 1
                 numbers = np.array([r[1:6] for r in rows[a:b]], "<i8")
-                out.append((rows[a][0], numbers.tobytes(), b"".join(r[6] for r in rows[a:b])))
+                out.append((rows[a][0], _CONTEXTS, numbers.tobytes(), b"".join(r[6] for r in rows[a:b])))
                 a = b
-            yield pd.DataFrame(out, columns=["bucket", "numbers", "contexts"])
+            if hot:
+                numbers = np.array([r[1:6] for r in hot], "<i8")
+                names, ids, at = _windows_of(numbers, np.frombuffer(b"".join(r[6] for r in hot), np.uint8).reshape(-1, BACK + REACH))
+                order = np.lexsort((at, ids, names))
+                names, ids, at = names[order], ids[order], at[order]
+                first, repeats = _first_and_repeats(names, ids, at)
+                spans = _spans(ids[repeats], at[repeats])
+                out.append((int(spans.sum() % n), _SPANS, spans.tobytes(), b""))
+                names, ids, at = names[first], ids[first], at[first]
+                bucket = (names % _U(n)).astype(np.int64)
+                for k in np.unique(bucket):
+                    own = bucket == k
+                    out.append((int(k), _WINDOWS, np.stack([names[own].astype(np.int64), ids[own], at[own]], 1).astype("<i8").tobytes(), b""))
+            yield pd.DataFrame(out, columns=["bucket", "kind", "numbers", "contexts"])
 
     return send
 
@@ -194,38 +221,61 @@ def _own_windows(contexts: np.ndarray, first: np.ndarray, windows: np.ndarray) -
     return row.astype(np.int32), column.astype(np.int16), window_ranks(contexts)[row, column]
 
 
+def _windows_of(numbers: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank, document and start of all own windows of contexts with (rank, id, position, start, windows)."""
+    _, ids, position, start, windows = numbers.T
+    names, owners, starts = [], [], []
+    for k in range(0, len(numbers), STEP):
+        part = slice(k, k + STEP)
+        row, column, name = _own_windows(contexts[part], start[part] - position[part] + BACK, windows[part])
+        names.append(name)
+        owners.append(ids[part][row])
+        starts.append(position[part][row] - BACK + column)
+    return np.concatenate(names), np.concatenate(owners), np.concatenate(starts)
+
+
+def _first_and_repeats(names: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in the order of rank, document and start: which are the first of their rank, and which repeat it."""
+    fresh = np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(names)), 0))
+    return fresh, (ids != ids[head]) | (at != at[head])
+
+
+def _spans(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows (id, start, end) of the bytes under windows, those at consecutive starts in one."""
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    new = np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(at) > 1)])[: len(ids)]
+    last = np.concatenate([new[1:], [True]])[: len(ids)]
+    return np.stack([ids[new], at[new], at[last] + REACH], 1).astype("<i8")
+
+
 def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     """The windows of open anchors that repeat an earlier one's, as spans of bytes."""
-    numbers = np.frombuffer(b"".join(group["numbers"]), "<i8").reshape(-1, 5)
+    raw = lambda kind, width: np.frombuffer(b"".join(group.loc[group["kind"] == kind, "numbers"]), "<i8").reshape(-1, width)
+    found = [raw(_SPANS, 3)]
+    windows = raw(_WINDOWS, 3)
+    windows = windows[np.lexsort((windows[:, 2], windows[:, 1], windows[:, 0]))]
+    _, repeats = _first_and_repeats(*windows.T)
+    found.append(_spans(windows[repeats, 1], windows[repeats, 2]))
+
+    numbers = raw(_CONTEXTS, 5)
     contexts = np.frombuffer(b"".join(group["contexts"]), np.uint8).reshape(-1, BACK + REACH)
-    rank, ids, position, start, windows = numbers.T
-    order = np.lexsort((position, ids, rank))
-    rank, ids, position, start, windows, contexts = (x[order] for x in (rank, ids, position, start, windows, contexts))
-    starts, ends, owners = [], [], []
+    order = np.argsort(numbers[:, 0], kind="stable")
+    numbers, contexts = numbers[order], contexts[order]
     a = 0
-    while a < len(rank):  # whole anchors' groups, of STEP contexts or more
-        b = int(np.searchsorted(rank, rank[min(a + STEP, len(rank)) - 1], side="right"))
-        parts = [_own_windows(contexts[k : min(k + STEP, b)], start[k : min(k + STEP, b)] - position[k : min(k + STEP, b)] + BACK, windows[k : min(k + STEP, b)]) for k in range(a, b, STEP)]
-        row = np.concatenate([r + k * STEP for k, (r, _, _) in enumerate(parts)])
-        column, names = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        by_name = np.argsort(names, kind="stable")
-        fresh = np.concatenate([[True], np.diff(names[by_name]) != 0])[: len(names)]
-        head = by_name[np.maximum.accumulate(np.where(fresh, np.arange(len(names)), 0))]
-        at = position[a:b][row] - BACK + column
-        who = ids[a:b][row]
-        repeats = np.zeros(len(names), bool)
-        repeats[by_name] = (who[head] != who[by_name]) | (at[head] != at[by_name])
-        row, at = row[repeats], at[repeats]
-        new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(at) != 1)])[: len(row)]
-        last = np.concatenate([new[1:], [True]])[: len(row)]
-        owners.append(ids[a:b][row[new]])
-        starts.append(at[new])
-        ends.append(at[last] + REACH)
+    while a < len(numbers):  # whole anchors' groups, of about STEP contexts
+        b = int(np.searchsorted(numbers[:, 0], numbers[min(a + STEP, len(numbers)) - 1, 0], side="right"))
+        names, ids, at = _windows_of(numbers[a:b], contexts[a:b])
+        order = np.lexsort((at, ids, names))
+        names, ids, at = names[order], ids[order], at[order]
+        _, repeats = _first_and_repeats(names, ids, at)
+        found.append(_spans(ids[repeats], at[repeats]))
         a = b
-    return pd.DataFrame({"id": np.concatenate(owners), "start": np.concatenate(starts), "end": np.concatenate(ends)})
+    return pd.DataFrame(np.concatenate(found), columns=["id", "start", "end"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (id, spans): for each document with repeated strings the spans of bytes (start, end) that go.
 
     Spans of one document may overlap. A string of REACH bytes goes where it also starts earlier: in a document
@@ -234,10 +284,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = body.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(shuffle_partitions(docs.sparkSession), size // 30 // TASK_ANCHORS)
     parcels = body.mapInPandas(_send_anchors(n), "bucket int, ids binary, counts binary, ranks binary, reaches binary, positions binary, sides binary")
-    marks = stored(parcels.groupBy("bucket").applyInPandas(_rank, "id long, start long, windows int, position long, rank long"), "substrings-marks")
+    marks = stored(parcels.groupBy("bucket").applyInPandas(_rank(hot), "id long, start long, windows int, position long, rank long, hot boolean"), "substrings-marks")
 
-    of_open = marks.where("rank >= 0").groupBy("id").agg(F.collect_list(F.struct("rank", "position", "start", "windows")).alias("marks"))
-    sent = _packed(body).join(of_open, "id").mapInPandas(_send_contexts(n), "bucket int, numbers binary, contexts binary")
+    of_open = marks.where("rank >= 0").groupBy("id").agg(F.collect_list(F.struct("rank", "position", "start", "windows", "hot")).alias("marks"))
+    sent = _packed(body).join(of_open, "id").mapInPandas(_send_contexts(n), _SENT)
     resolved = sent.groupBy("bucket").applyInPandas(_resolve, "id long, start long, end long")
     whole = marks.where("rank < 0").select("id", "start", (F.col("start") + F.col("windows") - 1 + REACH).alias("end"))
     spans = whole.unionByName(resolved).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -257,7 +307,7 @@ def _without(body: bytes, spans) -> tuple[int, int, bytes]:
     return int(gone.sum()), runs, np.frombuffer(body, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): kept has the bytes of each document that stay.
 
     Defined cases: a null text counts as empty; a text of fewer than 100 bytes has nothing to remove; rows that
@@ -273,7 +323,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             kept = [_without(b, s) for b, s in zip(bodies, batch["spans"])]
             yield pd.DataFrame({doc_id: batch["id"], "n_bytes": [len(b) for b in bodies], "n_removed": [k[0] for k in kept], "n_spans": [k[1] for k in kept], "kept": [k[2] for k in kept]})
 
-    joined = _packed(body).join(repeated_spans(docs, doc_id, text), "id", "left")
+    joined = _packed(body).join(repeated_spans(docs, doc_id, text, hot), "id", "left")
     return joined.mapInPandas(cut, f"`{doc_id}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -21,8 +21,8 @@ def brute(texts):
     return out
 
 
-def found(frame):
-    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(frame).collect()}
+def found(frame, **options):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(frame, **options).collect()}
 
 
 def test_matches_brute_force(documents, corpus):
@@ -40,6 +40,10 @@ def test_periodic_and_embedded(spark):
     assert found(frame) == brute(texts)
 
 
+def test_hot_anchors_are_dealt_by_window(documents, corpus):
+    assert found(documents, hot=1) == brute(corpus)
+
+
 def test_empty_table_and_repeated_rows(nothing, documents):
     assert substrings.remove_repeats(nothing).count() == 0
     twice = documents.where("doc_id = 96").unionByName(documents.where("doc_id = 96"))
