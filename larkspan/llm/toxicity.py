@@ -26,6 +26,10 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 5000, 10000
 #: Lengths of the word stems that can become part of the lexicon.
 STEMS = (4, 5, 6)
 MOST_FORMS = 3000
+#: A form of the lexicon is so many times as frequent among toxic families as among clean ones, at least.
+LEAST_ODDS = 100
+#: And in at least this share of the toxic families, more than one text's near copies make up.
+LEAST_SHARE = 0.015
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 BIAS = 2.5
@@ -136,17 +140,19 @@ def family(text: str) -> int:
     return min(crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4)))
 
 
-def most_telling(found: dict[str, tuple[int, float]]) -> dict[str, float]:
-    """Of forms with (toxic documents, weight), those that say most: a stem makes its longer forms needless, and
-    of a word and its stems in equally many documents the word stays."""
-    chosen: dict[str, float] = {}
-    counts: dict[str, int] = {}
-    for form in sorted(found, key=lambda f: (-found[f][0], f[0] == "^", -len(f), f)):
-        inside = any(s[0] == "^" and form[1:].startswith(s[1:]) for s in chosen)
-        needless = form[0] == "^" and any(c[1:].startswith(form[1:]) and counts[c] >= found[form][0] for c in chosen)
-        if not inside and not needless:
-            chosen[form], counts[form] = found[form][1], found[form][0]
-    return chosen
+def most_telling(found: dict[str, tuple[int, float]], share: float = 0.9) -> dict[str, float]:
+    """Of forms with (toxic families, weight), those that say most: a stem goes if one longer form, a stem or a
+    word, has at least ``share`` of its families, as the shorter fits clean words more easily; what begins with a
+    stem that stays is needless."""
+    longer: dict[str, int] = {}
+    for form, (n, _) in found.items():
+        for k in STEMS:
+            stem = f"^{form[1:][:k]}"
+            if stem != form and len(form) - 1 >= k:
+                longer[stem] = max(longer.get(stem, 0), n)
+    kept = {f: w for f, (n, w) in found.items() if f[0] == "=" or longer.get(f, 0) < share * n}
+    inside = lambda f: any(f"^{f[1:][:k]}" in kept and f"^{f[1:][:k]}" != f for k in STEMS if len(f) - 1 > k)
+    return {f: w for f, w in kept.items() if not inside(f)}
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> Lexicon:
@@ -171,8 +177,8 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Lexicon:
     )
     odds = F.log((F.col("t") + 0.1) / (toxic + 0.2)) - F.log((F.col("c") + 0.1) / (clean + 0.2))
     # in so many toxic families and no clean one by chance less than once among all forms
-    least = max(5.0, np.log(MOST_FORMS) / np.log((toxic + clean) / toxic))
-    picked = counts.where(F.col("t") >= least).withColumn("w", odds).where(F.col("w") > np.log(30)).orderBy(F.desc("t"), "form").limit(MOST_FORMS).collect()
+    least = max(5.0, LEAST_SHARE * toxic, np.log(MOST_FORMS) / np.log((toxic + clean) / toxic))
+    picked = counts.where(F.col("t") >= least).withColumn("w", odds).where(F.col("w") > np.log(LEAST_ODDS)).orderBy(F.desc("t"), "form").limit(MOST_FORMS).collect()
     return Lexicon(most_telling({r["form"]: (r["t"], r["w"]) for r in picked}))
 
 
