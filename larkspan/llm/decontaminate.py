@@ -1,44 +1,45 @@
-"""Benchmark items in documents: CGK random walks, bit-sampling LSH, and exact edit distance.
+"""Benchmark items in documents: character seeds, bit-parallel edit distance of all candidates, exact alignment.
 
-A CGK walk reads a string with a pointer that moves on or stays by a random bit for each step and symbol; strings at
-a small edit distance fall into step again, so that their walks differ in few places. Item-sized windows are walked
-at word starts, and the walk's symbols at sampled steps, hashed, are the keys of an LSH table; several walks and
-tables bring the recall. What meets an item at a key is then aligned with it exactly.
+A passage at an edit distance of at most k from an item keeps some run of the item's characters as it is. Items are
+cut into all their runs (seeds) of a length that such a passage keeps nearly always, and each place where a
+document has a seed is held against the item's pieces of 64 characters by Myers's algorithm, for thousands of
+places at once; the pieces' distances add up to no more than the item's. What is near enough is then aligned exactly. No condition on words comes before that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import stored, text_of
-from larkspan.llm.shingles import mix, word_hashes
+from larkspan.llm.common import text_of
+from larkspan.llm.shingles import mix
 
 _U = np.uint64
 _MUL = _U(0xD6E8FEB86659FD93)
-#: Random walks, tables (dealt to the walks) and sampled steps in a table.
+#: The CGK walk index, by which items were found before; find_items does without it, as its recall at 0.8 is too low.
 WALKS, TABLES, SAMPLED = 6, 24, 4
 #: Steps of a walk for each byte of the window; a step moves on by half a byte on average.
 STEPS = 1.6
-#: Window sizes in bytes grow by this factor from the smallest; an item takes the largest that it fills.
+#: Window sizes in bytes grow by this factor from the smallest.
 SMALLEST, GROWTH = 16, 1.25
 SIMILARITY = 0.8
-#: Items of fewer words are too short to be told from chance, and are left out.
+#: Items of fewer words are looked for without edits, and only where no letter or digit stands beside them.
 LEAST_WORDS = 5
-#: Windows begin where at least this share of the word pairs in the next SPAN words is some item's.
-SPAN, SHARE = 12, 0.36
-#: Of an item's own word pairs, the share that a stretch must have before the two are aligned.
-OWN_SHARE = 0.15
-#: Both bitmaps have 2 ** BITS bits, whatever the number of items.
-BITS = 23
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[[9, 10, 11, 12, 13]] = 32
+#: Of k random edits' gaps so many are expected to be as long as a seed: a passage without one has a chance of exp(-KEPT).
+KEPT = 2.8
+MOST_SEED = 16
+#: Characters of items that are looked for at once; more items take more passes over the documents.
+PARCEL = 2_000_000
+#: Characters of documents in a block, and places aligned at once.
+BLOCK, ALIGNED = 1 << 20, 1024
+#: The bitmap of the shortest prefixes has 2 ** BITS cells.
+BITS = 21
 
 
 def window_size(n_bytes: int) -> int:
@@ -82,12 +83,128 @@ def walk_keys(codes: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]) ->
     return mix(keys * _MUL + salt)
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    return (keys >> _U(64 - BITS)).astype(np.int64)
+def edits(n_chars: int, n_words: int, similarity: float) -> int:
+    """The most edits with which an item is still found."""
+    return int((1 - similarity) * n_chars) if n_words >= LEAST_WORDS else 0
+
+
+def seed_length(n_chars: int, k: int, similarity: float) -> int:
+    """The length of an item's seeds. One of n // (k + 1) characters is always kept; random edits keep longer ones."""
+    longer = int(log(k / KEPT) / -log(similarity)) if k > KEPT and similarity < 1 else 0
+    return max(1, min(max(n_chars // (k + 1), longer), MOST_SEED))
+
+
+def symbols(text: str) -> np.ndarray:
+    """A byte for each character, A-Z as lower case and white space as a space; rare characters may share one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((codes >= 65) & (codes <= 90), codes + 32, np.where((codes >= 9) & (codes <= 13), 32, codes))
+    return ((codes ^ (codes >> 8)) & 255).astype(np.uint8)
+
+
+def _extend(h: np.ndarray, codes: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
+    for j in range(a, b):
+        h = h * _MUL + codes[at + j] + _U(1)
+    return h
+
+
+class Seeds:
+    """The seeds of a parcel of items (id, text), by length; and each item's symbols for the alignment."""
+
+    def __init__(self, items: list[tuple], similarity: float):
+        self.items = [(i, t) for i, t in items if t.split()]
+        self.codes = [symbols(t) for _, t in self.items]
+        self.words = [len(t.split()) for _, t in self.items]
+        self.most = np.array([edits(len(c), w, similarity) for c, w in zip(self.codes, self.words)], np.int64)
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
+        lengths = [seed_length(len(c), k, similarity) for c, k in zip(self.codes, self.most)]
+        self.lengths = sorted(set(lengths))
+        self.hits, self.prefixes = {}, {}
+        made = {n: [] for n in self.lengths}
+        for x, (c, n) in enumerate(zip(self.codes, lengths)):
+            starts = np.arange(len(c) - n + 1)
+            h, done = np.zeros(len(starts), _U), 0
+            for m in self.lengths:
+                if m <= n:
+                    h, done = _extend(h, c, starts, done, m), m
+                    made[m].append((mix(h), np.full(len(starts), x), starts, m == n))
+        for n, parts in made.items():
+            self.prefixes[n] = np.unique(np.concatenate([p[0] for p in parts]))
+            own = [p for p in parts if p[3]]
+            keys, item, place = (np.concatenate([p[k] for p in own]) for k in range(3))
+            order = np.argsort(keys, kind="stable")
+            self.hits[n] = keys[order], item[order], place[order]
+        self.first = np.zeros(1 << BITS, bool)
+        if self.lengths:
+            self.first[self._cell(self.prefixes[self.lengths[0]])] = True
+
+    @staticmethod
+    def _cell(keys: np.ndarray) -> np.ndarray:
+        return (keys >> _U(64 - BITS)).astype(np.int64)
+
+    def found(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in ``codes``, items, places in the items) at which both have the same seed."""
+        n, alive, hashes = self.lengths[0], [], []
+        for a in range(0, len(codes) - n + 1, 1 << 15):
+            b = min(a + (1 << 15), len(codes) - n + 1)
+            h = np.zeros(b - a, _U)
+            for j in range(n):
+                h *= _MUL
+                h += codes[a + j : b + j]
+                h += _U(1)
+            some = np.flatnonzero(self.first[self._cell(mix(h))])
+            alive.append(some + a)
+            hashes.append(h[some])
+        at, h = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((alive, np.int64), (hashes, _U)))
+        done = n
+        for n in self.lengths:
+            inside = at + n <= len(codes)
+            at, h = at[inside], _extend(h[inside], codes, at[inside], done, n)
+            done, key, listed = n, mix(h), self.prefixes[n]
+            if not len(at):
+                return
+            some = listed[np.minimum(np.searchsorted(listed, key), len(listed) - 1)] == key
+            at, h, key = at[some], h[some], key[some]
+            keys, item, place = self.hits[n]
+            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            times = high - low
+            which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield np.repeat(at, times), item[which], place[which]
+
+    @lru_cache(maxsize=4000)  # noqa: B019
+    def masks(self, x: int) -> np.ndarray:
+        """For each symbol and word of 64 bits, where the item has the symbol."""
+        c = self.codes[x]
+        out = np.zeros((256, (len(c) + 63) // 64), _U)
+        for i, s in enumerate(c):
+            out[s, i >> 6] |= _U(1 << (i & 63))
+        return out
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    return mix(words[:-1] * _MUL + words[1:])
+def piece_distances(seeds: Seeds, item: np.ndarray, piece: int, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row the least edit distance of a piece of its item, 64 symbols at most, to a part of
+    ``codes[low:high]``; at most the distance of the characters."""
+    kinds, row = np.unique(item, return_inverse=True)
+    masks = np.stack([seeds.masks(int(x))[:, piece] for x in kinds]).ravel()
+    row = row * 256
+    score = np.minimum(seeds.sizes[item] - 64 * piece, 64)
+    top, one, best = (score - 1).astype(_U), _U(1), score.copy()
+    up, down = np.full(len(item), ~_U(0)), np.zeros(len(item), _U)
+    steps, last = high - low, len(codes) - 1
+    shortest = int(steps.min())
+    for j in range(int(steps.max())):
+        eq = masks[row + codes[np.minimum(low + j, last)]]
+        if j >= shortest:
+            eq[j >= steps] = 0
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(h | up), up & h
+        score += ((plus >> top) & one).view(np.int64)
+        score -= ((minus >> top) & one).view(np.int64)
+        np.minimum(best, score, out=best)
+        plus <<= one
+        minus <<= one
+        up, down = minus | ~(v | plus), plus & v
+    return best
 
 
 def best_match(pattern: str, text: str) -> tuple[int, int, int]:
@@ -118,144 +235,123 @@ def best_match(pattern: str, text: str) -> tuple[int, int, int]:
     return distance, end - back, end
 
 
-def _item_keys(sizes: tuple[int, ...]):
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, text in zip(batch["item_id"], batch["text"]):
-                body = text.encode("utf-8", "surrogatepass")
-                codes = np.append(_FOLD[np.frombuffer(body, np.uint8)], np.zeros(8, np.uint8))
-                found = walk_keys(codes, np.zeros(1, np.int64), (window_size(len(body)),)).ravel()
-                yield pd.DataFrame({"item_id": key, "key": found.astype(np.int64)})
-
-    return keys
-
-
-def _item_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [np.unique(_pairs(word_hashes([t.encode("utf-8", "surrogatepass")])[0])).astype(np.int64) for t in batch["text"]]
-        yield pd.DataFrame({"item_id": batch["item_id"], "own": found})
-
-
-def _regions(pair_bits: np.ndarray, key_bits: np.ndarray, sizes: tuple[int, ...], span: int, hits: int, longest: int):
-    """The stretches of the documents around windows that have a key of some item, with those keys."""
-
+_LOWER = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **{chr(c): " " for c in range(9, 14)}})
+
+
+def matches(seeds: Seeds, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the text, number of the item, start, end, distance) of the passages of a block of texts."""
+    codes = np.concatenate([np.append(symbols(t), np.uint8(0)) for t in texts])
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    parts = list(seeds.found(codes))
+    if not parts:
+        return
+    at, item, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    owner = np.searchsorted(begins, at, side="right") - 1
+    start = at - place
+    # places of an item that begin within half of its length are one stretch
+    order = np.lexsort((start, item, owner))
+    owner, item, start = owner[order], item[order], start[order]
+    half = seeds.sizes[item] // 2
+    same = (owner[1:] == owner[:-1]) & (item[1:] == item[:-1]) & (start[1:] - start[:-1] <= seeds.most[item[1:]])
+    new = np.concatenate([[True], ~same]) if len(start) else np.zeros(0, bool)
+    run = np.flatnonzero(new)
+    # long runs are cut by how far a place is from the run's first
+    offset = start - np.repeat(start[run], np.diff(np.append(run, len(start))))
+    piece = offset // np.maximum(half, 1)
+    new[1:] |= piece[1:] != piece[:-1]
+    run = np.flatnonzero(new)
+    if not len(run):
+        return
+    till = start[np.append(run[1:], len(start)) - 1]
+    owner, item, start = owner[run], item[run], start[run]
+    most = seeds.most[item]
+    low = np.maximum(start - most, begins[owner])
+    high = np.minimum(till + seeds.sizes[item] + most, begins[owner + 1] - 1)
+    # the pieces' distances add up to no more than the item's
+    left, some, piece = most.copy(), np.arange(len(run)), 0
+    passed = []
+    while len(some):
+        ends = np.minimum(seeds.sizes[item], 64 * (piece + 1))
+        a, b = np.maximum(low, start - most + 64 * piece), np.minimum(high, till + most + ends)
+        b = np.maximum(a, b)
+        some = some[np.argsort((b - a)[some], kind="stable")]
+        for x in range(0, len(some), ALIGNED):
+            k = some[x : x + ALIGNED]
+            left[k] -= piece_distances(seeds, item[k], piece, codes, a[k], b[k])
+        some, piece = some[left[some] >= 0], piece + 1
+        whole = seeds.sizes[item[some]] <= 64 * piece
+        passed.append(some[whole])
+        some = some[~whole]
+    got: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for k in np.sort(np.concatenate(passed)):
+        doc, x = int(owner[k]), int(item[k])
+        a = int(low[k] - begins[doc])
+        pattern, text = seeds.items[x][1].translate(_LOWER), texts[doc]
+        body = text[a : int(high[k] - begins[doc])].translate(_LOWER)
+        if seeds.words[x] < LEAST_WORDS:
+            beside = (text[max(a - 1, 0) : a] + pattern[:1]).isalnum() * a or (pattern[-1:] + text[a + len(pattern) : a + len(pattern) + 1]).isalnum() * (a + len(pattern) < len(text))
+            if body == pattern and not beside:
+                got.setdefault((doc, x), []).append((0, a, a + len(pattern)))
+            continue
+        distance, s, e = best_match(pattern, body)
+        if distance <= most[k]:
+            got.setdefault((doc, x), []).append((distance, a + s, a + e))
+    for (doc, x), hits in got.items():
+        kept: list[tuple[int, int, int]] = []
+        for distance, s, e in sorted(set(hits)):
+            if all(e <= b or s >= c for _, b, c in kept):
+                kept.append((distance, s, e))
+        yield from ((doc, x, s, e, distance) for distance, s, e in kept)
+
+
+def _scan(sent, schema: list[str]):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds = sent.value
         for batch in batches:
-            ids, texts = batch["id"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+            ids, texts = batch["id"].to_numpy(), list(batch["text"])
             a = 0
             while a < len(texts):
                 b, size = a, 0
-                while b < len(texts) and (b == a or size < 1 << 20):
+                while b < len(texts) and (b == a or size < BLOCK):
                     size += len(texts[b])
                     b += 1
-                rows = list(_block(ids[a:b], texts[a:b]))
+                rows = [(ids[a + d], seeds.items[x][0], s, e, n, 1 - n / len(seeds.items[x][1])) for d, x, s, e, n in matches(seeds, texts[a:b])]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["id", "start", "text", "keys", "pairs"])
+                    yield pd.DataFrame(rows, columns=schema)
                 a = b
 
-    def _block(ids, texts) -> Iterator[tuple]:
-        words, owner, begins = word_hashes(texts)
-        if len(words) < 2:
-            return
-        same = owner[1:] == owner[:-1]
-        pairs = _pairs(words)
-        listed = pair_bits[_bits(pairs)] & same
-        known = np.concatenate([[0], np.cumsum(listed)])
-        ahead = np.minimum(np.arange(len(words)) + span - 1, len(known) - 1)
-        first = np.flatnonzero(known[ahead] - known[np.arange(len(words))] >= hits)
-        if not len(first):
-            return
-        codes = np.append(_FOLD[np.frombuffer(b"\n".join(texts), np.uint8)], np.zeros(8, np.uint8))
-        keys = walk_keys(codes, begins[first], sizes).reshape(len(first), -1)
-        held = key_bits[_bits(keys)]
-        some = held.any(1)
-        first, keys, held = first[some], keys[some], held[some]
-        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-        k = 0
-        while k < len(first):
-            doc, m = owner[first[k]], k + 1
-            while m < len(first) and owner[first[m]] == doc and begins[first[m]] - begins[first[m - 1]] <= longest:
-                m += 1
-            body = texts[doc]
-            low = max(0, begins[first[k]] - offsets[doc] - longest // 4)
-            high = min(len(body), begins[first[m - 1]] - offsets[doc] + longest + longest // 4)
-            while low and body[low] & 0xC0 == 0x80:
-                low -= 1
-            while high < len(body) and body[high] & 0xC0 == 0x80:
-                high += 1
-            part = body[low:high].decode("utf-8", "surrogatepass")
-            a, b = np.searchsorted(begins, [low + offsets[doc], high + offsets[doc]])
-            own = np.unique(pairs[a:b][listed[a:b]]).astype(np.int64)
-            yield ids[doc], len(body[:low].decode("utf-8", "surrogatepass")), part, np.unique(keys[k:m][held[k:m]]).astype(np.int64), own
-            k = m
-
     return scan
 
 
-def _verify(similarity: float):
-    fold = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **{chr(c): " " for c in range(9, 14)}})
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, start, text, item, pattern in zip(*(batch[c] for c in ("id", "start", "text", "item_id", "item"))):
-                pattern = pattern.translate(fold)
-                distance, a, b = best_match(pattern, text.translate(fold))
-                if distance <= (1 - similarity) * len(pattern):
-                    rows.append((key, item, start + a, start + b, distance, 1 - distance / len(pattern)))
-            yield pd.DataFrame(rows, columns=["id", "item_id", "start", "end", "distance", "similarity"])
-
-    return verify
-
-
 def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, item_id, start, end, distance, similarity): passages of documents that are items, or nearly.
 
     ``distance`` is the edit distance in characters, where A-Z counts as lower case and each white-space character
     as a space; passages of at least the given similarity (1 - distance / the item's length) are returned, the
-    nearest of each stretch. Start and end are in characters. What is broadcast is two bitmaps of a fixed size;
-    keys, items and stretches are joined. Defined cases: a null or empty text has no items; items that are null or
-    have fewer than LEAST_WORDS words are left out; items that repeat are found each under its id; a repeated
-    document repeats its rows; other columns are ignored; an empty table on either side gives no row.
+    nearest of those that overlap. Start and end are in characters. What is broadcast is a parcel of items of a
+    fixed size, with its seeds; there are as many passes over the documents as parcels. Defined cases: a null or
+    empty text has no items; items that are null or have no words are left out; those of fewer than LEAST_WORDS
+    words are found verbatim, between characters that are no letters or digits; items that repeat are found each
+    under its id; a repeated document repeats its rows; other columns are ignored; an empty table on either side
+    gives no row.
     """
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{doc_id}`").alias("id"), text_of(text).alias("text"))
-    known = items.select(F.col(f"`{item_id}`").alias("item_id"), text_of(text).alias("text")).withColumn("words", F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))).where(F.col("words") >= LEAST_WORDS)
-    window = F.udf(window_size, "int")
-    facts = known.select("words", F.octet_length("text").alias("n"))
-    # the window sizes in use grow with the logarithm of the longest item
-    by_size = facts.groupBy(window("n").alias("size")).agg(F.min("words").alias("words"), F.max("n").alias("longest")).collect()
+    known = items.select(F.col(f"`{item_id}`").alias("item_id"), text_of(text).alias("text")).where(F.col("text") != "")
     kinds = {c: body.schema["id"].dataType.simpleString() if c == "id" else known.schema["item_id"].dataType.simpleString() for c in ("id", "item_id")}
     found = f"id {kinds['id']}, item_id {kinds['item_id']}, start long, end long, distance int, similarity double"
     names = [F.col("id").alias(doc_id), F.col("item_id").alias(item_id), "start", "end", "distance", "similarity"]
-    if not by_size:
-        return spark.createDataFrame([], found).select(names)
-    sizes = tuple(sorted(r["size"] for r in by_size))
-    span = min(SPAN, min(r["words"] for r in by_size))
-    hits = int(np.ceil(SHARE * (span - 1)))
-    longest = max(r["longest"] for r in by_size)
-
-    def bitmap(bits: DataFrame):
-        out = np.zeros(1 << BITS, bool)
-        out[bits.distinct().toPandas()["bit"].to_numpy(np.int64)] = True  # at most 2 ** BITS numbers
-        return out
-
-    item_keys = stored(known.mapInPandas(_item_keys(sizes), f"item_id {kinds['item_id']}, key long"), "decontaminate-items")
-    own_pairs = stored(known.mapInPandas(_item_pairs, f"item_id {kinds['item_id']}, own array<long>"), "decontaminate-pairs")
-    pairs = bitmap(own_pairs.select(F.explode("own").alias("pair")).select(F.shiftrightunsigned("pair", 64 - BITS).alias("bit")))
-    key_map = bitmap(item_keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("bit")))
-    maps = spark.sparkContext.broadcast((pairs, key_map))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _regions(*maps.value, sizes, span, hits, longest)(batches)
-
-    regions = stored(body.mapInPandas(scan, f"id {kinds['id']}, start long, text string, keys array<long>, pairs array<long>"), "decontaminate-regions")
-    enough = F.size(F.array_intersect("pairs", "own")) >= F.greatest(F.size("own") * OWN_SHARE, F.lit(1))
-    met = regions.select("id", "start", "pairs", F.explode("keys").alias("key")).join(item_keys, "key").join(own_pairs, "item_id")
-    candidates = met.where(enough).select("id", "start", "item_id").distinct()
-    texts = regions.select("id", "start", "text").dropDuplicates(["id", "start"])
-    aligned = candidates.join(texts, ["id", "start"]).join(known.select("item_id", F.col("text").alias("item")), "item_id")
-    return aligned.mapInPandas(_verify(similarity), found).select(names)
+    parcels = ceil((known.agg(F.sum(F.length("text"))).first()[0] or 0) / PARCEL)
+    out = None
+    for k in range(parcels):
+        # about PARCEL characters
+        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parcels)) == k).collect()
+        seeds = Seeds([(r["item_id"], r["text"]) for r in part], similarity)
+        if seeds.lengths:
+            sent = spark.sparkContext.broadcast(seeds)
+            rows = body.mapInPandas(_scan(sent, ["id", "item_id", "start", "end", "distance", "similarity"]), found)
+            out = rows if out is None else out.unionByName(rows)
+    return (spark.createDataFrame([], found) if out is None else out).select(names)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

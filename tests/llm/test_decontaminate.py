@@ -65,3 +65,37 @@ def test_empty_tables(spark, nothing, documents):
     bench = spark.createDataFrame([(1, prose(20, 1))], "item_id long, text string")
     assert decontaminate.find_items(nothing, bench).count() == 0
     assert decontaminate.find_items(documents, bench.limit(0)).count() == 0
+
+
+def edited(text, share, pick):
+    """The text with random characters replaced, left out or put in."""
+    out = []
+    for c in text:
+        kind = pick.choice("rdi") if pick.random() < share else ""
+        out.append({"": c, "r": pick.choice("abcdefghij"), "d": "", "i": c + pick.choice("abcdefghij")}[kind])
+    return "".join(out)
+
+
+def test_recall_at_the_least_similarity_against_brute_force(spark):
+    pick = random.Random(21)
+    items = {k: prose(12 + k, 60_000 + k) for k in range(24)}
+    rows, wanted = [], {}
+    for i in range(480):
+        planted = edited(items[i % 24], (0.1, 0.15, 0.18, 0.2)[i % 4], pick)
+        rows.append((i, f"{prose(40, 61_000 + i)} {planted} {prose(30, 62_000 + i)}"))
+        distance, _, _ = decontaminate.best_match(items[i % 24].lower(), rows[-1][1].lower())
+        if distance <= 0.2 * len(items[i % 24]):
+            wanted[i, i % 24] = distance
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_items(docs, bench).collect()}
+    hard = {k for k, d in wanted.items() if d > 0.15 * len(items[k[1]])}
+    assert len(hard) > 80 and len(hard & found.keys()) >= 0.9 * len(hard)
+    assert len(wanted.keys() & found.keys()) >= 0.95 * len(wanted)
+    assert all(found[k] == wanted[k] for k in wanted.keys() & found.keys()) and found.keys() <= wanted.keys()
+
+
+def test_short_items_are_found_verbatim(spark):
+    docs = spark.createDataFrame([(1, "Say FORTY two, please"), (2, "forty twofold"), (3, "xforty two"), (4, "é forty\ttwo"), (5, "forty tw")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "forty two"), (8, " ")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontaminate.find_items(docs, bench).collect()}
+    assert found == {(1, 7, 4, 13), (4, 7, 2, 11)}
