@@ -33,7 +33,9 @@ def text_statistics(text: str) -> list[float]:
     """The transformed statistics of one whole text; the empty text has them too."""
     words = text.split()
     n = len(words)
-    blocks = [_shares(words[k : k + BLOCK]) for k in range(0, max(n - BLOCK // 2, 1), BLOCK)]
+    starts = range(0, max(n - BLOCK // 2, 1), BLOCK)
+    # a tail too short for a block of its own goes with the last one
+    blocks = [_shares(words[k : k + BLOCK if k != starts[-1] else n]) for k in starts]
     weights = np.full(len(blocks), BLOCK, float)
     weights[-1] = max(n - BLOCK * (len(blocks) - 1), 1)
     table = np.array(blocks)

@@ -68,3 +68,14 @@ def test_discriminant_against_scipy_free_formula():
     moments = {c: (float(len(v)), v.sum(0), v.T @ v) for c, v in x.items()}
     model = quality.Discriminant(moments)
     assert (model.score(x[1]) > 0.5).mean() > 0.6 and (model.score(x[0]) < 0.5).mean() > 0.6
+
+
+def test_last_words_of_a_text_count_in_every_block_statistic():
+    words = prose(60, 3).split()
+    names = quality.FEATURES
+    for n in (41, 50, 60, 99):
+        plain = (words + words)[:n]
+        for junk, touched in (("JUNK JUNK JUNK", ("upper", "again")), ("a$ b$ c$", ("marks",)), ("| | |", ("bars", "again"))):
+            before, after = (dict(zip(names, quality.text_statistics(" ".join(w)))) for w in (plain, plain[:-3] + junk.split()))
+            for name in touched:
+                assert after[name] > before[name] and after[f"worst_{name}"] > before[f"worst_{name}"]
