@@ -439,8 +439,8 @@ def text_facts(spark, d):
     body = F.col("text")
     facts = table(spark, d, "documents").select(
         "doc_id", F.size(jobs.levels(body)).alias("levels"), jobs.location(body)["work_mode"].alias("work_mode"), F.size(jobs.skills(F.col("source"), body)).alias("skills"),
-        jobs.role(F.col("source"), body)["role"].alias("role"), jobs.experience(F.substring_index(body, "\n", 1))["warnings"].alias("experience"),
-        jobs.salary(F.substring_index(body, "\n", 1))["warnings"].alias("salary"),
+        jobs.role(F.col("source"), body)["role"].alias("role"), jobs.experience(body)["warnings"].alias("experience"),
+        jobs.salary(body)["warnings"].alias("salary"),
     )
     return facts
 

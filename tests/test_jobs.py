@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal
 
 import pytest
@@ -82,3 +83,22 @@ def test_documents(spark):
         (3, "json", "T", "C", "https://jobs.example.com/ok"), (4, "csv", "X", "Y", "https://jobs.example.com/z"),
     ]
     assert [r["external_id"] for r in found[:2]] == ["7", "9"] and len(found[2]["external_id"]) == 64 and found[1]["location"] == "Hanoi"
+
+
+def test_text_facts_read_every_line(spark, tmp_path):
+    from larkspan.plans.queries import text_facts
+
+    texts = ["About us\nWe are here\n3+ years", "About us\n2 years", "About us\n5000 - 3000 USD/month", "3+ years", "About us\nno figures", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'src' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(text):
+        """For these texts: a number of years or a reversed range of pay, wherever it stands."""
+        if text is None:
+            return None, None
+        n, years = [int(x) for x in re.findall(r"\d+", text)], "years" in text
+        experience = ["experience_unit_missing"] if not years else [] if "+" in text else ["experience_interpreted_as_minimum"]
+        salary = ["salary_not_numeric"] if not n else ["insufficient_salary_evidence"] if len(n) == 1 else ["salary_range_reversed"]
+        return experience, salary
+
+    found = {r["doc_id"]: (r["experience"], r["salary"]) for r in text_facts(spark, str(tmp_path)).collect()}
+    assert found == {i: plain(t) for i, t in enumerate(texts)}
