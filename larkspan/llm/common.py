@@ -10,28 +10,50 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts of the corpus operators define it.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Cells of a filter that is broadcast: 2 ** 20 numbers at most, however large the data.
+CELLS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new local one where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a new local one serves a
+    local master alone; on a cluster executors wouldn't see each other's files, so that this is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark.sparkContext, "_larkspan_dir", None)
         if folder is None:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
             folder = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext._larkspan_dir = folder
     return folder.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
-    It cuts the lineage: a lost executor costs the tasks that ran there, not the steps before."""
+    It cuts the lineage: a lost executor costs the tasks that ran there, not the steps before. The table goes when
+    the driver ends, or before by :func:`forget`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    again = spark.read.schema(schema).parquet(path)
+    again._larkspan_path = path
+    return again
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table that ``stored`` wrote for ``df``; nothing that is still to be computed may read it."""
+    files, place = _place(df.sparkSession, df._larkspan_path)
+    files.delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -43,6 +65,24 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
+def version(text: str = "text") -> Column:
+    """A hash that tells rows of one id with different texts apart."""
+    return F.xxhash64(text_of(text))
+
+
+def cell(*columns: Column | str) -> Column:
+    """One of CELLS cells for a key. A filter by the distinct cells of some keys keeps all rows with these keys and,
+    the fuller it is, more or fewer others, so that an exact step must follow."""
+    return F.pmod(F.xxhash64(*columns), F.lit(CELLS))
+
+
+def without(docs: DataFrame, lost: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without the rows of which ``lost`` (id, v) has the id and the text's version; null ids are equal."""
+    gone = lost.select(F.col("id").alias("lost_id"), F.col("v").alias("lost_v")).distinct()
+    same = docs[f"`{doc_id}`"].eqNullSafe(gone["lost_id"]) & (version(text) == gone["lost_v"])
+    return docs.join(gone, same, "left_anti")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % parts

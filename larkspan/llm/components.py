@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import stored
+from larkspan.llm.common import forget, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,11 +19,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = stored(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "components-links")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "components-labels")
+    table = labels
     while True:
         seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         lower = labels.join(seen, labels.node == seen.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = stored(lower.join(jumps, "label").select("node", "old", F.least("label", "next").alias("label")), "components-labels")
-        labels = moved.select("node", "label")
+        forget(table)
+        table, labels = moved, moved.select("node", "label")
         if not moved.where("label < old").limit(1).count():
             return labels

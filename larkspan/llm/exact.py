@@ -5,60 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import SPACE, stored, text_of
+from larkspan.llm.common import cell, stored, text_of, version, without
+
+#: Runs of ASCII white space but single spaces, which stay as they are.
+RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+PREFIX = 96
 
 
 def normalised(text: str = "text") -> Column:
     """The text with each run of ASCII white space replaced by one space; null counts as empty."""
-    return F.regexp_replace(text_of(text), SPACE, " ")
+    return F.regexp_replace(text_of(text), RUNS, " ")
 
 
-def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = 96) -> DataFrame:
-    """Rows (doc_id, text_sha256, keep_id, group_size) of the documents that have a copy.
+def hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX, every: bool = False) -> DataFrame:
+    """Rows (id, v, h, likely): the SHA-256 of each normalised text whose length and prefix another row has.
 
-    Each level reads only what survived the one before: first the normalised lengths, then a hash of the
-    first ``prefix_chars`` characters among equal lengths, then a SHA-256 of the whole normalised text among
-    equal prefixes; the text itself is not used until then. The document with the smallest id is the one to keep.
+    A first scan counts (length, hash of the first ``prefix_chars`` characters), with partial sums in each task:
+    a length or prefix that one row alone has goes no further. What is left is broadcast as cells (a fixed number at
+    most), by which a second scan chooses the texts that it hashes whole; no text is shuffled. With ``every`` the
+    others are hashed in that scan too, as not likely."""
+    measures = F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("p")
+    body = docs.select(F.col(f"`{doc_id}`").alias("id"), version(text).alias("v"), normalised(text).alias("t"))
+    prefixes = body.select(*measures).groupBy("n", "p").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    left = prefixes.select(cell("n", "p").alias("left")).distinct()
+    measured = body.select("id", "v", "t", *measures).withColumn("cell", cell("n", "p"))
+    found = measured.join(F.broadcast(left), F.col("cell") == F.col("left"), "left" if every else "left_semi")
+    likely = F.col("left").isNotNull() if every else F.lit(True)
+    return stored(found.select("id", "v", F.sha2("t", 256).alias("h"), likely.alias("likely")), "copies-hashes")
 
-    Defined cases: a null text equals the empty text, and all empty texts form one group; repeated rows of one
-    document count in group_size and give one row here; other columns are ignored; an empty table gives no row.
-    Copies of one text meet in a partial aggregate per task, never in one task.
-    """
-    body = docs.select(F.col(f"`{doc_id}`").alias("id"), normalised(text).alias("t"))
-    sizes = stored(body.select("id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("p")), "copies-sizes")
 
-    lengths = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    same_length = sizes.join(lengths.select("n"), "n", "left_semi")
-    prefixes = same_length.groupBy("n", "p").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    same_prefix = same_length.join(prefixes.select("n", "p"), ["n", "p"], "left_semi")
+def groups_of(hashed: DataFrame) -> DataFrame:
+    """Rows (h, keep_id, group_size) of the texts that more than one row has; copies meet in partial aggregates."""
+    groups = hashed.where("likely").groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return groups.where("group_size > 1")
 
-    hashes = stored(
-        body.join(same_prefix.select("id"), "id", "left_semi").select("id", F.sha2("t", 256).alias("h")), "copies-hashes"
-    )
-    groups = hashes.groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+
+def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX) -> DataFrame:
+    """Rows (doc_id, text_sha256, keep_id, group_size) of the documents that have a copy.
+
+    The document with the smallest id is the one to keep; a null id comes after all others. Defined cases: a null
+    text equals the empty text, and all empty texts form one group; repeated rows of one document count in
+    group_size and give one row here; rows of one id with different texts are judged each; other columns are
+    ignored; an empty table gives no row.
+    """
+    hashed = hashes(docs, doc_id, text, prefix_chars)
     return (
-        hashes.dropDuplicates(["id", "h"])
-        .join(groups, "h")
+        hashed.dropDuplicates(["id", "h"]).join(groups_of(hashed), "h")
         .select(F.col("id").alias(doc_id), F.col("h").alias("text_sha256"), "keep_id", "group_size")
-    )
+    )
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents of which an equal one with a smaller id exists; its columns stay as they are."""
-    losers = copy_groups(docs, doc_id, text).where(F.col(f"`{doc_id}`") != F.col("keep_id")).select(doc_id).distinct()
-    return docs.join(losers, doc_id, "left_anti").select(docs.columns)
+    """``docs`` without the documents of which an equal one with a smaller id exists; its columns stay as they are.
+
+    Defined cases as for :func:`copy_groups`: a null id goes if its text has another; repeated rows of the document
+    that stays stay too; of rows of one id only those go whose own text is a copy."""
+    hashed = hashes(docs, doc_id, text)
+    lost = hashed.join(groups_of(hashed), "h").where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    return without(docs, lost, doc_id, text)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    groups = copy_groups(docs)
-    whole = docs.select("doc_id", F.sha2(normalised(), 256).alias("text_sha256"))
-    return whole.join(groups, ["doc_id", "text_sha256"], "left").select(
-        "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+    hashed = hashes(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=True)
+    kept = F.coalesce("keep_id", "id")
+    return hashed.join(groups_of(hashed), "h", "left").select(
+        F.col("id").alias("doc_id"),
+        kept.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"),
-        "text_sha256",
+        kept.eqNullSafe(F.col("id")).alias("kept"),
+        F.col("h").alias("text_sha256"),
     )
 
 

@@ -26,3 +26,24 @@ def test_empty_table_and_repeated_rows(nothing, documents):
     twice = documents.where("doc_id = 5").unionByName(documents.where("doc_id = 5"))
     assert [tuple(r)[2:] for r in exact.copy_groups(twice).collect()] == [(5, 2)]
     assert exact.drop_copies(twice).count() == 2
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    rows = [(1, "A"), (5, "A"), (5, "B"), (None, "A"), (None, "C"), (None, None), (7, ""), (8, "D  x"), (9, "D x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in exact.drop_copies(docs).collect()}
+    assert kept == {(1, "A"), (5, "B"), (None, "C"), (7, ""), (8, "D  x")}
+
+
+def test_white_space_is_normalised_as_asked(spark):
+    texts = ["a b", "a  b", "a\tb", "a \n\x0b\x0c\r b", "a b", " a b ", "\n", "", "a\x0eb"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(exact.normalised()).collect()]
+    assert got == [re.sub(r"[\x20\x09-\x0D]+", " ", t) for t in texts]
+
+
+def test_the_query_reads_texts_twice_and_shuffles_none(spark, documents, tmp_path):
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    out = exact.op7_exact_dedup(spark, str(tmp_path))
+    assert out.count() == documents.count()
+    alone = out.where("group_size = 1")
+    assert alone.where("NOT kept OR keep_id <> doc_id").count() == 0 and alone.count() > 50
