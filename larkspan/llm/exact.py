@@ -10,6 +10,8 @@ from larkspan.llm.common import cell, stored, text_of, version, without
 #: Runs of ASCII white space but single spaces, which stay as they are.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 PREFIX = 96
+#: A group of at least one row in so many is large.
+LARGE = 1000
 
 
 def normalised(text: str = "text") -> Column:
@@ -24,20 +26,30 @@ def hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_c
     a length or prefix that one row alone has goes no further. What is left is broadcast as cells (a fixed number at
     most), by which a second scan chooses the texts that it hashes whole; no text is shuffled. With ``every`` the
     others are hashed in that scan too, as not likely."""
-    measures = F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("p")
+    measure = lambda t: F.struct(F.length(t).alias("n"), F.xxhash64(F.substring(t, 1, prefix_chars)).alias("p"))
     body = docs.select(F.col(f"`{doc_id}`").alias("id"), version(text).alias("v"), normalised(text).alias("t"))
-    prefixes = body.select(*measures).groupBy("n", "p").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    left = prefixes.select(cell("n", "p").alias("left")).distinct()
-    measured = body.select("id", "v", "t", *measures).withColumn("cell", cell("n", "p"))
+    # the lambda's argument is normalised once, whatever is made of it
+    prefixes = body.select(F.transform(F.array("t"), measure)[0].alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    left = prefixes.select(cell("m").alias("left")).distinct()
+    measured = body.withColumn("cell", cell(measure(F.col("t"))))
     found = measured.join(F.broadcast(left), F.col("cell") == F.col("left"), "left" if every else "left_semi")
     likely = F.col("left").isNotNull() if every else F.lit(True)
     return stored(found.select("id", "v", F.sha2("t", 256).alias("h"), likely.alias("likely")), "copies-hashes")
 
 
-def groups_of(hashed: DataFrame) -> DataFrame:
-    """Rows (h, keep_id, group_size) of the texts that more than one row has; copies meet in partial aggregates."""
-    groups = hashed.where("likely").groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return groups.where("group_size > 1")
+def with_groups(hashed: DataFrame) -> DataFrame:
+    """``hashed`` with keep_id and group_size, null where no other row has the text.
+
+    Copies meet in partial aggregates. Groups of a thousandth of all rows, of which there are a thousand at most, are
+    broadcast, and their rows then dealt by id, so that no task gets a large group."""
+    groups = hashed.where("likely").groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = stored(groups, "copies-groups")
+    is_large = F.col("group_size") * LARGE >= hashed.count()
+    large = groups.where(is_large).select("h", F.struct("keep_id", "group_size").alias("large"))
+    small = groups.where(~is_large).select(F.col("h").alias("key"), F.struct("keep_id", "group_size").alias("small"))
+    dealt = hashed.join(F.broadcast(large), "h", "left").withColumn("key", F.when(F.col("large").isNull(), F.col("h")).otherwise(F.concat(F.lit("id "), F.xxhash64("id"))))
+    found = dealt.join(small, "key", "left").withColumn("group", F.coalesce("large", "small"))
+    return found.select(*hashed.columns, "group.keep_id", "group.group_size")
 
 
 def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX) -> DataFrame:
@@ -48,11 +60,8 @@ def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
     group_size and give one row here; rows of one id with different texts are judged each; other columns are
     ignored; an empty table gives no row.
     """
-    hashed = hashes(docs, doc_id, text, prefix_chars)
-    return (
-        hashed.dropDuplicates(["id", "h"]).join(groups_of(hashed), "h")
-        .select(F.col("id").alias(doc_id), F.col("h").alias("text_sha256"), "keep_id", "group_size")
-    )
+    found = with_groups(hashes(docs, doc_id, text, prefix_chars)).where("group_size > 1").dropDuplicates(["id", "h"])
+    return found.select(F.col("id").alias(doc_id), F.col("h").alias("text_sha256"), "keep_id", "group_size")
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,15 +69,14 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Defined cases as for :func:`copy_groups`: a null id goes if its text has another; repeated rows of the document
     that stays stay too; of rows of one id only those go whose own text is a copy."""
-    hashed = hashes(docs, doc_id, text)
-    lost = hashed.join(groups_of(hashed), "h").where(~F.col("id").eqNullSafe(F.col("keep_id")))
-    return without(docs, lost, doc_id, text)
+    found = with_groups(hashes(docs, doc_id, text)).where("group_size > 1")
+    return without(docs, found.where(~F.col("id").eqNullSafe(F.col("keep_id"))), doc_id, text)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = hashes(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=True)
+    found = with_groups(hashes(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=True))
     kept = F.coalesce("keep_id", "id")
-    return hashed.join(groups_of(hashed), "h", "left").select(
+    return found.select(
         F.col("id").alias("doc_id"),
         kept.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
