@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause's words are read as classes: insult, threat, target, negation, reporting verb, other. Four transducers,
-composed once, turn the classes of a clause into a factor for the insults and threats in it: a target strengthens
-them, a negation before them and reported speech weaken them. What an insult weighs is learned: the lexicon has
-the words and word stems that many unrelated toxic documents share and clean ones don't have.
+A clause's words are read as classes: insult, harm, target, negation, reporting verb, other. Five transducers are
+composed once. The negation and the report transducer rewrite the insults and harms in their reach; what they let
+through is weighed by the insult, the threat and the target transducer, which look for a target on either side. So a
+clause is scored, not a word: the same insult counts when it is said, and doesn't when it is denied or quoted. Which
+words are insults is learned: the lexicon has the words and word stems that so many unrelated toxic documents share,
+and so few clean ones, as chance among all words can't explain.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
-from zlib import crc32
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -20,62 +21,117 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import fold, stored, text_of
+from larkspan.llm.components import components
+from larkspan.llm.shingles import mix, shingle_sets
 
 #: At most so many labelled documents of each label are learned from, those with the smallest hash of their id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 5000, 10000
+#: Near copies of a text meet at one of so many bands and count as one.
+BANDS = 4
 #: Lengths of the word stems that can become part of the lexicon.
 STEMS = (4, 5, 6)
-MOST_FORMS = 3000
 #: A form of the lexicon is so many times as frequent among toxic families as among clean ones, at least.
 LEAST_ODDS = 100
-#: And in at least this share of the toxic families, more than one text's near copies make up.
-LEAST_SHARE = 0.015
+#: And is expected by chance less often than this among all forms seen.
+BY_CHANCE = 0.05
 WORD = re.compile(r"[^\W\d_]+")
+#: A word of a clause, with what an apostrophe joins to it.
+JOINED = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-BIAS = 2.5
 
 #: Closed word classes in the corpus's languages (fixed values).
-THREATS = frozenset("kill hurt destroy murder beat töten umbringen schlagen tuer frapper matar golpear".split())
-TARGETS = frozenset("you your yours du dich dir ihr euch tu toi vous usted ustedes tú ti".split())
-NEGATIONS = frozenset("not never no isn't aren't don't nicht kein keine nie ne pas jamais nunca".split())
-REPORTS = frozenset("said says wrote claimed quoted sagte schrieb behauptete disait écrit dijo escribió".split())
-SYMBOLS = "ITYNRO"  # insult, threat, target, negation, report, other
+HARMS = frozenset("kill hurt destroy murder beat töten umbringen schlagen tuer frapper matar golpear".split())
+TARGETS = frozenset("you your yours du dich dir ihr euch tu te toi vous usted ustedes tú ti".split())
+NEGATIONS = frozenset("not never no nor neither nicht kein keine keinen keiner nie ne pas jamais nunca".split())
+REPORTS = frozenset("said says say wrote claimed claims quoted called sagte sagt schrieb behauptete disait dit écrit dijo dice escribió".split())
+INSULT, HARM, TARGET, NEGATION, REPORT, OTHER = "IHYNRO"
+#: What is denied and what is reported, as the first two transducers write it.
+DENIED, QUOTED = "d", "q"
+
+#: Evidence: of a harm alone, added by a target, by a harm's target, and by a report that comes after an insult.
+HARM_WEIGHT, TARGETED, THREATENED, REPORTED_AFTER = 0.5, 1.0, 2.0, -2.2
+#: What is left of an insult that is denied or reported.
+DENIED_SHARE, QUOTED_SHARE = 0.1, 0.3
+#: Words that a negation reaches, and that may stand between a harm and its target.
+NEGATED_WORDS, THREAT_WORDS = 3, 4
+#: A text with this evidence scores 0.5.
+BIAS, STEEP = 1.6, 2.5
 
 
 class Transducer:
-    """``arcs``: (state, symbol) -> (next state, factor); what is missing stays with factor 1. Starts in state 0."""
+    """``arcs``: (state, symbol) -> (next state, symbol written, share, bonus); what is missing keeps state and symbol,
+    with share 1 and bonus 0. The evidence of a word is its own weight by the share, and the bonus. Starts in state 0."""
 
-    def __init__(self, arcs: dict[tuple, tuple], states: int):
-        self.arcs, self.states = arcs, states
+    def __init__(self, arcs: dict[tuple, tuple]):
+        self.arcs = arcs
 
     def step(self, state, symbol: str) -> tuple:
-        return self.arcs.get((state, symbol), (state, 1.0))
+        return self.arcs.get((state, symbol), (state, symbol, 1.0, 0.0))
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both at once: states are pairs, numbered; factors multiply."""
-        arcs = {}
-        for a, b, symbol in product(range(self.states), range(other.states), SYMBOLS):
-            (c, x), (d, y) = self.step(a, symbol), other.step(b, symbol)
-            arcs[a * other.states + b, symbol] = (c * other.states + d, x * y)
-        return Transducer(arcs, self.states * other.states)
-
-    def factors(self, symbols: str) -> list[float]:
-        state, out = 0, []
-        for symbol in symbols:
-            state, factor = self.step(state, symbol)
-            out.append(factor)
-        return out
-
-
-def _grammar() -> Transducer:
-    target = Transducer({(0, "Y"): (1, 1.0), (1, "I"): (1, 1.3), (1, "T"): (1, 1.0), (0, "T"): (0, 0.2)}, 2)
-    # a negation holds for the next three words
-    negation = Transducer({(k, "N"): (3, 1.0) for k in range(4)} | {(k, s): (k - 1, 0.6 if s in "IT" else 1.0) for k in (1, 2, 3) for s in "ITYRO"}, 4)
-    reported = Transducer({(0, "R"): (1, 1.0), (1, "I"): (1, 0.7), (1, "T"): (1, 0.5)}, 2)
-    return target.compose(negation).compose(reported)
-
-
-GRAMMAR = _grammar()
+        """What this one writes is read by the other; shares multiply, bonuses add. States are numbered as reached."""
+        arcs, numbers, todo = {}, {(0, 0): 0}, [(0, 0)]
+        for a, b in todo:
+            for symbol in INSULT + HARM + TARGET + NEGATION + REPORT + OTHER + DENIED + QUOTED:
+                c, middle, share, bonus = self.step(a, symbol)
+                d, written, more, extra = other.step(b, middle)
+                if (c, d) not in numbers:
+                    numbers[c, d] = len(numbers)
+                    todo.append((c, d))
+                arcs[numbers[a, b], symbol] = numbers[c, d], written, share * more, bonus + extra
+        return Transducer(arcs)
+
+    def evidence(self, symbols: str, weights: list[float]) -> float:
+        state, total = 0, 0.0
+        for symbol, weight in zip(symbols, weights):
+            state, _, share, bonus = self.step(state, symbol)
+            total += share * weight + bonus
+        return total
+
+
+def negation() -> Transducer:
+    """A negation denies the insults and harms among the next NEGATED_WORDS words."""
+    arcs = {}
+    for left in range(NEGATED_WORDS + 1):
+        arcs[left, NEGATION] = NEGATED_WORDS, NEGATION, 1.0, 0.0
+        if left:
+            arcs |= {(left, s): (left - 1, DENIED if s in (INSULT, HARM) else s, 1.0, 0.0) for s in (INSULT, HARM, TARGET, REPORT, OTHER)}
+    return Transducer(arcs)
+
+
+def report() -> Transducer:
+    """After a reporting verb, insults and harms are quoted; one after an insult takes back what it weighed."""
+    arcs = {(0, REPORT): (1, REPORT, 1.0, 0.0), (0, INSULT): (2, INSULT, 1.0, 0.0), (2, REPORT): (1, REPORT, 1.0, REPORTED_AFTER)}
+    arcs |= {(1, s): (1, QUOTED, 1.0, 0.0) for s in (INSULT, HARM, DENIED)}
+    return Transducer(arcs)
+
+
+def insult() -> Transducer:
+    """An insult weighs what it weighs, a denied or quoted one a share of it."""
+    return Transducer({(0, DENIED): (0, DENIED, DENIED_SHARE, 0.0), (0, QUOTED): (0, QUOTED, QUOTED_SHARE, 0.0)})
+
+
+def threat() -> Transducer:
+    """A harm and its target, in either order, with fewer than THREAT_WORDS words between them."""
+    arcs = {}
+    for state in range(2 * THREAT_WORDS + 1):  # 1 to THREAT_WORDS: a harm was seen; above: a target was
+        seen_harm, seen_target = 0 < state <= THREAT_WORDS, state > THREAT_WORDS
+        arcs[state, HARM] = (0, HARM, 1.0, THREATENED) if seen_target else (THREAT_WORDS, HARM, 1.0, 0.0)
+        arcs[state, TARGET] = (0, TARGET, 1.0, THREATENED) if seen_harm else (2 * THREAT_WORDS, TARGET, 1.0, 0.0)
+        passed = 0 if state in (0, 1, THREAT_WORDS + 1) else state - 1
+        arcs |= {(state, s): (passed, s, 1.0, 0.0) for s in (INSULT, NEGATION, REPORT, OTHER, DENIED, QUOTED)}
+    return Transducer(arcs)
+
+
+def target() -> Transducer:
+    """An insult in a clause with a target, before or after it, weighs more; once a clause."""
+    return Transducer({
+        (0, TARGET): (1, TARGET, 1.0, 0.0), (0, INSULT): (2, INSULT, 1.0, 0.0),
+        (1, INSULT): (3, INSULT, 1.0, TARGETED), (2, TARGET): (3, TARGET, 1.0, TARGETED),
+    })
+
+
+GRAMMAR = negation().compose(report()).compose(insult()).compose(threat()).compose(target())
 
 
 def forms(text: str) -> set[str]:
@@ -95,22 +151,35 @@ def _count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Lexicon:
-    """Insults with weights; ``pattern`` finds them as whole words or stems."""
+    """Insults with their log odds; ``pattern`` finds them as whole words or stems, and harms."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, odds: dict[str, float]):
+        # on the scale of the grammar's evidence: from 2 on, 3 at most
+        weights = {f: 2 + min(w, 10.0) / 10 for f, w in odds.items()}
         self.words = {f[1:]: w for f, w in weights.items() if f[0] == "="}
         self.stems = {f[1:]: w for f, w in weights.items() if f[0] == "^"}
-        parts = [re.escape(w) + r"(?![^\W\d_])" for w in self.words] + [re.escape(w) for w in self.stems]
-        parts += [re.escape(w) + r"(?![^\W\d_])" for w in sorted(THREATS)]
+        whole = sorted({*self.words, *HARMS})
+        parts = [re.escape(w) + r"(?![^\W\d_])" for w in whole] + [re.escape(w) for w in self.stems]
         self.pattern = re.compile(r"(?<![^\W\d_])(?:" + "|".join(parts) + ")")
 
     def weight(self, word: str) -> float:
         return max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k)])
 
-    def symbol(self, word: str) -> str:
-        if self.weight(word):
-            return "I"
-        return "T" if word in THREATS else "Y" if word in TARGETS else "N" if word in NEGATIONS else "R" if word in REPORTS else "O"
+    def read(self, word: str) -> tuple[str, float]:
+        """The class and the weight of a word of a clause; an apostrophe joins parts that are looked at each."""
+        parts = word.replace("’", "'").split("'")
+        if weight := max(map(self.weight, parts)):
+            return INSULT, weight
+        if parts[-1] == "t" and len(parts) > 1 and parts[-2][-1] == "n" or parts[0] == "n" and len(parts) > 1:
+            return NEGATION, 0.0
+        for symbol, words, weight in ((HARM, HARMS, HARM_WEIGHT), (NEGATION, NEGATIONS, 0.0), (TARGET, TARGETS, 0.0), (REPORT, REPORTS, 0.0)):
+            if not words.isdisjoint(parts):
+                return symbol, weight
+        return (TARGET, 0.0) if parts[0] == "t" and len(parts) > 1 else (OTHER, 0.0)
+
+    def clause(self, words: list[str]) -> float:
+        read = [self.read(w) for w in words]
+        return GRAMMAR.evidence("".join(s for s, _ in read), [w for _, w in read])
 
     def clauses(self, text: str) -> list[float]:
         """The evidence of each clause of the whole text in which something matched."""
@@ -118,26 +187,36 @@ class Lexicon:
         for hit in self.pattern.finditer(low):
             if hit.start() < end:
                 continue
-            begin = max((low.rfind(c, 0, hit.start()) for c in ".!?;:\n")) + 1
+            begin = max((low.rfind(c, max(end, 0), hit.start()) for c in ".!?;:\n")) + 1 or max(end, 0)
             stop = CLAUSE_END.search(low, hit.end())
             end = stop.start() if stop else len(low)
-            words = WORD.findall(low, begin, end)
-            symbols = "".join(map(self.symbol, words))
-            weights = [factor * (self.weight(w) if s == "I" else 3.0) for w, s, factor in zip(words, symbols, GRAMMAR.factors(symbols)) if s in "IT"]
-            if weights:
-                found.append(max(weights) + 0.1 * (sum(weights) - max(weights)))
+            found.append(self.clause(JOINED.findall(low, begin, end)))
         return found
 
     def score(self, text: str) -> float:
+        """Of the strongest clause, to which the others add a tenth."""
         evidence = sorted(self.clauses(text), reverse=True)
-        total = evidence[0] + 0.1 * min(sum(evidence[1:]), 20.0) if evidence else 0.0
-        return float(1 / (1 + np.exp(BIAS - min(total, 40.0))))
+        total = evidence[0] + 0.1 * min(sum(max(e, 0.0) for e in evidence[1:]), 20.0) if evidence else 0.0
+        return 1 / (1 + exp(STEEP * (BIAS - min(max(total, -10.0), 20.0))))
+
 
+def family_keys(texts: pd.Series) -> pd.Series:
+    """For each text the keys of BANDS bands of two MinHash values of its five-word shingles."""
+    out = []
+    for shingles in shingle_sets(texts):
+        least = [mix(shingles ^ mix(np.array([k + 1], np.uint64))).min(initial=np.uint64(2**64 - 1)) for k in range(2 * BANDS)]
+        out.append([int(mix(np.array([least[2 * k] * np.uint64(31) + least[2 * k + 1] + np.uint64(k)])).astype(np.int64)[0]) for k in range(BANDS)])
+    return pd.Series(out)
 
-def family(text: str) -> int:
-    """The least hash of the text's five-word shingles: near copies of a text mostly share it."""
-    words = text.split()
-    return min(crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4)))
+
+def with_families(rows: DataFrame) -> DataFrame:
+    """Rows (text, label, family) of rows (text, label): texts that share a band, directly or by way of others, are one
+    family, of which one text of each label stays."""
+    made = F.pandas_udf(family_keys, "array<bigint>")
+    keyed = stored(rows.withColumns({"node": F.xxhash64("text"), "keys": made("text")}), "toxicity-sample")
+    links = keyed.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("hub"), F.collect_set("node").alias("nodes"))
+    found = components(links.select("hub", F.explode("nodes").alias("node")).where("node <> hub"), "hub", "node")
+    return keyed.join(found.withColumnRenamed("label", "family"), "node", "left").withColumn("family", F.coalesce("family", "node")).dropDuplicates(["family", "label"]).select("text", "label", "family")
 
 
 def most_telling(found: dict[str, tuple[int, float]], share: float = 0.9) -> dict[str, float]:
@@ -164,21 +243,23 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Lexicon:
     for label, most in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE)):
         part = labelled.where(F.col("label") == label).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
-    families = F.pandas_udf(lambda texts: pd.Series([family(t) for t in texts], dtype="int64"), "long")
     # at most TOXIC_SAMPLE + CLEAN_SAMPLE ids
     own = docs.join(F.broadcast(sample), "id").select("text", F.col("label").cast("int").alias("label"))
-    rows = stored(own.withColumn("family", families("text")).dropDuplicates(["family", "label"]), "toxicity-sample")
+    rows = stored(with_families(own), "toxicity-families")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
-    counts = rows.mapInPandas(_count_forms, "form string, label int, n long").groupBy("form").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
+    of = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    forms_seen = rows.mapInPandas(_count_forms, "form string, label int, n long")
+    counts = stored(forms_seen.groupBy("form").agg(of(1).alias("t"), of(0).alias("c")), "toxicity-forms")
+    # the chance that all of so many families with the form are toxic, if toxic and clean ones had it alike
+    share = toxic / (toxic + clean)
+    seen = counts.count()
+    least = log(max(seen, 1) / BY_CHANCE) / -log(share)
     odds = F.log((F.col("t") + 0.1) / (toxic + 0.2)) - F.log((F.col("c") + 0.1) / (clean + 0.2))
-    # in so many toxic families and no clean one by chance less than once among all forms
-    least = max(5.0, LEAST_SHARE * toxic, np.log(MOST_FORMS) / np.log((toxic + clean) / toxic))
-    picked = counts.where(F.col("t") >= least).withColumn("w", odds).where(F.col("w") > np.log(LEAST_ODDS)).orderBy(F.desc("t"), "form").limit(MOST_FORMS).collect()
+    # what passes comes from the sample, and so has its bound
+    picked = counts.where(F.col("t") >= least).withColumn("w", odds).where(F.col("w") > log(LEAST_ODDS)).collect()
     return Lexicon(most_telling({r["form"]: (r["t"], r["w"]) for r in picked}))
 
 
@@ -198,7 +279,10 @@ def _scorer(docs: DataFrame, lexicon: Lexicon):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``docs`` without those that score 0.5 or more; its columns, whatever their names, stay as they are."""
+    """``docs`` without those that score 0.5 or more; its columns, whatever their names, stay as they are.
+
+    Each row is judged by its own text, so that null or repeated ids and repeated rows stay or go as their texts do; a
+    null or empty text stays; an empty table gives no row. Labels as for :func:`score_toxicity`."""
     score = _scorer(docs, learned(docs, labels, doc_id, text, label))
     return docs.where(score(text_of(text)) < 0.5)
 
@@ -209,7 +293,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     The lexicon is learned from labelled documents whose crc32(id) mod 5 is not 0. Defined cases: a null text
     counts as empty, and a text in which nothing matches has the same low score as the empty one; labels other
     than 0 and 1 are left out; repeated rows are scored each; without documents of both labels nothing but
-    threats matches; columns of ``docs`` named held_out or score are replaced; an empty table gives no row.
+    threats matches; rows without an id are scored, and aren't held out; columns of ``docs`` named held_out or score are replaced; an empty table gives no row.
     """
     held_out = F.coalesce(fold(doc_id, 5) == 0, F.lit(False))
     score = _scorer(docs, learned(docs, labels, doc_id, text, label))
