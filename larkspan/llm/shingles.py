@@ -66,9 +66,10 @@ def shingle_sets(texts: Iterable[str]) -> Iterator[np.ndarray]:
 def _block_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     words, owner, _ = word_hashes(texts)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    shingles = np.zeros(max(len(words) - WORDS + 1, 0), _U)
+    n = max(len(words) - WORDS + 1, 0)
+    shingles = np.zeros(n, _U)
     for k in range(WORDS):
-        shingles = shingles * _MUL + words[k : len(words) - WORDS + 1 + k]
+        shingles = shingles * _MUL + words[k : n + k]
     shingles = mix(shingles)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= WORDS:
