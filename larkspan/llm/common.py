@@ -83,6 +83,31 @@ def without(docs: DataFrame, lost: DataFrame, doc_id: str, text: str) -> DataFra
     return docs.join(gone, same, "left_anti")
 
 
+#: A group of at least one row in so many is large.
+LARGE = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has each ``key`` once, with its number of rows as ``size``.
+
+    Groups of a thousandth of all grouped rows, of which there are a thousand at most, are broadcast, and their rows
+    dealt by all that they hold, so that no task gets a large group. ``groups`` is read three times."""
+    others = [c for c in groups.columns if c != key]
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_large = F.col(size) * LARGE >= total
+    large = groups.where(is_large).select(key, F.struct(*others).alias("large_group"))
+    small = groups.where(~is_large).select(F.col(key).alias("group_key"), F.struct(*others).alias("small_group"))
+    dealt = rows.join(F.broadcast(large), key, "left")
+    spread = F.when(F.col("large_group").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("n")))
+    spread = spread.otherwise(F.struct(F.lit(None).cast(groups.schema[key].dataType).alias("k"), F.xxhash64(*rows.columns).alias("n")))
+    own = F.struct(F.col("group_key").alias("k"), F.lit(0).cast("long").alias("n"))
+    found = dealt.withColumn("dealt_by", spread).join(small.withColumn("dealt_by", own).drop("group_key"), "dealt_by", "left")
+    found = found.withColumn("of_group", F.coalesce("large_group", "small_group"))
+    if how != "left":
+        found = found.where(F.col("of_group").isNotNull())
+    return found.select(*rows.columns, *[F.col("of_group")[c].alias(c) for c in others])
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % parts

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import cell, stored, text_of, version, without
+from larkspan.llm.common import cell, stored, text_of, version, with_group, without
 
 #: Runs of ASCII white space but single spaces, which stay as they are.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 PREFIX = 96
-#: A group of at least one row in so many is large.
-LARGE = 1000
 
 
 def normalised(text: str = "text") -> Column:
@@ -38,18 +36,9 @@ def hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_c
 
 
 def with_groups(hashed: DataFrame) -> DataFrame:
-    """``hashed`` with keep_id and group_size, null where no other row has the text.
-
-    Copies meet in partial aggregates. Groups of a thousandth of all rows, of which there are a thousand at most, are
-    broadcast, and their rows then dealt by id, so that no task gets a large group."""
-    groups = hashed.where("likely").groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = stored(groups, "copies-groups")
-    is_large = F.col("group_size") * LARGE >= hashed.count()
-    large = groups.where(is_large).select("h", F.struct("keep_id", "group_size").alias("large"))
-    small = groups.where(~is_large).select(F.col("h").alias("key"), F.struct("keep_id", "group_size").alias("small"))
-    dealt = hashed.join(F.broadcast(large), "h", "left").withColumn("key", F.when(F.col("large").isNull(), F.col("h")).otherwise(F.concat(F.lit("id "), F.xxhash64("id"))))
-    found = dealt.join(small, "key", "left").withColumn("group", F.coalesce("large", "small"))
-    return found.select(*hashed.columns, "group.keep_id", "group.group_size")
+    """``hashed`` with keep_id and group_size, null where no other row has the text; copies meet in partial sums."""
+    groups = hashed.where("likely").groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return with_group(hashed, stored(groups.where("group_size > 1"), "copies-groups"), "h", "group_size")
 
 
 def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX) -> DataFrame:

@@ -34,9 +34,9 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all words (A-Z lower-cased, separated by ASCII white space), the text each is in, and where
-    it begins in the texts joined by one byte."""
+    it begins and ends in the texts joined by one byte."""
     buf = np.frombuffer(b"\n".join(texts).translate(_LOWER) + b"\n", np.uint8)
     space = _SPACE[buf]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
@@ -45,7 +45,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     total = np.concatenate([np.zeros(1, _U), np.cumsum(buf.astype(_U) * powers[: len(buf)])])
     hashes = mix((total[ends] - total[begins]) * inverses[begins] + (ends - begins).astype(_U))
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(starts, begins, side="right") - 1, begins
+    return hashes, np.searchsorted(starts, begins, side="right") - 1, begins, ends
 
 
 def shingle_sets(texts: Iterable[str]) -> Iterator[np.ndarray]:
@@ -64,7 +64,7 @@ def shingle_sets(texts: Iterable[str]) -> Iterator[np.ndarray]:
 
 
 def _block_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    words, owner, _ = word_hashes(texts)
+    words, owner, _, _ = word_hashes(texts)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     n = max(len(words) - WORDS + 1, 0)
     shingles = np.zeros(n, _U)
