@@ -17,8 +17,9 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from larkspan.llm.common import shuffle_partitions, stored, text_of
+from larkspan.llm.common import shuffle_partitions, stored, text_of, version
 from larkspan.llm.shingles import mix, power_tables
 
 _U = np.uint64
@@ -34,6 +35,9 @@ _POSITION = 20
 STEP = 8000
 #: The windows of an anchor with more open ones than this are dealt out one by one, by their rank.
 HOT = 2000
+#: Anchors with about so many places, by an estimate from one document in SAMPLED, don't even meet in a task to be
+#: ranked; MOST_HOT of them at most.
+CROWDED, SAMPLED, MOST_HOT = 20_000, 16, 1 << 20
 
 
 def anchors(body: bytes) -> tuple[np.ndarray, ...] | None:
@@ -77,29 +81,70 @@ def _number(raw: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _send_anchors(n: int, batch_anchors: int = 400_000):
-    """The anchors of many documents, a parcel for each bucket of ranks: 19 bytes an anchor."""
+_PARCELS = "bucket int, hot boolean, ids binary, counts binary, ranks binary, reaches binary, positions binary, sides binary"
+_MARKS = ["id", "start", "windows", "position", "rank", "hot"]
+
+
+def _ranks_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ranks that a batch has more than once, by the top 48 bits."""
+    for batch in batches:
+        found = [a[0] for t in batch["text"] if (a := anchors(t.encode("utf-8", "surrogatepass")))]
+        if found:
+            ranks, times = np.unique(np.concatenate(found) >> _U(16), return_counts=True)
+            yield pd.DataFrame({"rank": ranks[times > 1].astype(np.int64), "times": times[times > 1]})
+
+
+def crowded_ranks(body: DataFrame, least: int = CROWDED) -> np.ndarray:
+    """Ranks so frequent that their anchors shouldn't meet in a task, sorted.
+
+    This decides where anchors travel, never what is removed: any list gives the same result, as every task has the
+    same. So it is estimated from one document in SAMPLED, and ``least`` is doubled until MOST_HOT suffice."""
+    some = body.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInPandas(_ranks_seen, "rank long, times long")
+    counted = stored(some.groupBy("rank").agg((F.sum("times") * SAMPLED).alias("times")).where(F.col("times") >= least), "substrings-crowded")
+    while counted.where(F.col("times") >= least).count() > MOST_HOT:
+        least *= 2
+    return np.sort(counted.where(F.col("times") >= least).toPandas()["rank"].to_numpy(np.int64).astype(_U))
+
+
+def _send_anchors(n: int, crowded, batch_anchors: int = 400_000):
+    """The anchors of many documents, a parcel for each bucket of ranks: 19 bytes an anchor.
+
+    Those of crowded ranks go by way of any task, and of those with one rank and reach only the first does; the
+    others, which repeat it as far as a window can reach, are marked so with their rank left out."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = crowded.value
         held: list[tuple] = []
         ids: list[int] = []
 
+        def parcel(bucket: int, hot: bool, o: np.ndarray, owner, rank, reach, position, window, windows) -> tuple:
+            own, counts = np.unique(owner[o], return_counts=True)
+            sides = np.stack([position[o] - window[o], windows[o]], 1).astype(np.uint8)
+            return bucket, hot, np.array(ids, "<i8")[own].tobytes(), counts.astype("<u4").tobytes(), _top(rank[o], 6).tobytes(), _top(reach[o], 7).tobytes(), position[o].astype("<u4").tobytes(), sides.tobytes()
+
         def flush() -> pd.DataFrame:
             rank, reach, position, window, windows = (np.concatenate([h[k] for h in held]) for k in range(5))
             owner = np.repeat(np.arange(len(ids)), [len(h[0]) for h in held])
-            bucket = (rank % _U(n)).astype(np.int64)
+            rows, plain = [], np.arange(len(rank))
+            if len(known):
+                short = rank >> _U(16)
+                is_hot = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+                hot, plain = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
+                order = hot[np.lexsort((position[hot], np.array(ids)[owner[hot]], reach[hot], rank[hot]))]
+                again = np.concatenate([[False], (rank[order][1:] == rank[order][:-1]) & (reach[order][1:] == reach[order][:-1])])[: len(order)]
+                rank = rank.copy()
+                rank[order[again]] = 0
+                if len(hot):
+                    rows.append(parcel(int(rank.sum() % _U(n)), True, hot, owner, rank, reach, position, window, windows))
+            bucket = (rank[plain] % _U(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(n + 1))
-            rows = []
             for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                 if b > a:
-                    o = order[a:b]
-                    own, counts = np.unique(owner[o], return_counts=True)
-                    sides = np.stack([position[o] - window[o], windows[o]], 1).astype(np.uint8)
-                    rows.append((k, np.array(ids, "<i8")[own].tobytes(), counts.astype("<u4").tobytes(), _top(rank[o], 6).tobytes(), _top(reach[o], 7).tobytes(), position[o].astype("<u4").tobytes(), sides.tobytes()))
+                    rows.append(parcel(k, False, plain[order[a:b]], owner, rank, reach, position, window, windows))
             held.clear()
             ids.clear()
-            return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "ranks", "reaches", "positions", "sides"])
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in _PARCELS.split(", ")])
 
         size = 0
         for batch in batches:
@@ -121,11 +166,20 @@ def _rank(most: int):
     """Of the anchors that aren't unique: those that repeat an earlier one as far as a window can reach, and, as
     open, the first of each such rank where the anchor has more than one; as hot too where it has over ``most``."""
 
-    def rank_group(group: pd.DataFrame) -> pd.DataFrame:
+    def opened(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
         raw = lambda c, kind: np.frombuffer(b"".join(group[c]), kind)
         ids = np.repeat(raw("ids", "<i8"), raw("counts", "<u4"))
         rank, reach = _number(raw("ranks", np.uint8).reshape(-1, 6)), _number(raw("reaches", np.uint8).reshape(-1, 7))
-        position, sides = raw("positions", "<u4"), raw("sides", np.uint8).reshape(-1, 2)
+        return ids, rank, reach, raw("positions", "<u4"), raw("sides", np.uint8).reshape(-1, 2)
+
+    def marks(ids, rank, position, sides, hot) -> pd.DataFrame:
+        columns = ids, position.astype(np.int64) - sides[:, 0], sides[:, 1].astype(np.int32), position.astype(np.int64), rank, hot
+        return pd.DataFrame(dict(zip(_MARKS, columns)))
+
+    def rank_group(group: pd.DataFrame) -> pd.DataFrame:
+        ids, rank, _, position, sides = opened(group[group["hot"]])
+        passed = marks(ids, np.where(rank > 0, rank.astype(np.int64), -1), position, sides, rank > 0)
+        ids, rank, reach, position, sides = opened(group[~group["hot"]])
         by_rank = np.argsort(rank, kind="stable")
         sizes = np.diff(np.append(starts := np.flatnonzero(np.concatenate([[True], np.diff(rank[by_rank]) != 0])), len(rank)))
         again = by_rank[np.repeat(sizes, sizes) > 1]
@@ -140,22 +194,23 @@ def _rank(most: int):
         kinds = np.bincount(of_rank, weights=fresh, minlength=1)
         is_open = fresh & (kinds[of_rank] > 1) if len(rank) else fresh
         hot = is_open & (kinds[of_rank] > most) if len(rank) else is_open
-        keep = repeats | is_open
-        start = position.astype(np.int64) - sides[:, 0]
-        return pd.DataFrame({"id": ids, "start": start, "windows": sides[:, 1].astype(np.int32), "position": position.astype(np.int64), "rank": np.where(is_open, rank.astype(np.int64), -1), "hot": hot})[keep]
+        return pd.concat([passed, marks(ids, np.where(is_open, rank.astype(np.int64), -1), position, sides, hot)[repeats | is_open]])
 
     return rank_group
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The texts as zstd blocks, to be dealt out."""
+    """The texts as zstd blocks, to be dealt out; the other columns come first."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "body": [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
+            out = batch.drop(columns="text")
+            out["body"] = [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
+            yield out
 
-    return docs.mapInPandas(pack, "id long, body binary")
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return docs.mapInPandas(pack, ", ".join([*others, "body binary"]))
 
 
 _SENT = "bucket int, kind int, numbers binary, contexts binary"
@@ -275,15 +330,32 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(found), columns=["id", "start", "end"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """Rows (id, spans): for each document with repeated strings the spans of bytes (start, end) that go.
+def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """Rows (own, id, text), and the number of characters. ``id`` is a number that orders documents as ``own`` does.
+
+    Where every row has an integer of its own, that is the id itself. Otherwise (ids that are null, no integers, or on
+    rows with different texts) it is the place of (own, text's version) in their order; nulls come last."""
+    body = docs.select(F.col(f"`{doc_id}`").alias("own"), version(text).alias("v"), text_of(text).alias("text"))
+    by_id = body.groupBy("own").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.length("text")).alias("size"))
+    odd, size = by_id.agg(F.coalesce(F.max((F.col("low") < F.col("high")) | F.col("own").isNull()), F.lit(False)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if not odd and isinstance(body.schema["own"].dataType, IntegralType):
+        return body.select("own", F.col("own").cast("long").alias("id"), "text"), size
+    # the ids grow with the partitions, and these with the order
+    order = body.select("own", "v").distinct().orderBy(F.col("own").asc_nulls_last(), "v")
+    known = stored(order.select(F.col("own").alias("its_own"), F.col("v").alias("its_v"), F.monotonically_increasing_id().alias("id")), "substrings-order")
+    found = body.join(known, body["own"].eqNullSafe(known["its_own"]) & (body["v"] == known["its_v"]))
+    return found.select("own", "id", "text"), size
+
+
+def repeated_spans(body: DataFrame, size: int, hot: int = HOT, crowded: int = CROWDED) -> DataFrame:
+    """Rows (id, spans), from rows (id, text): for each document with repeated strings the bytes (start, end) that go.
 
     Spans of one document may overlap. A string of REACH bytes goes where it also starts earlier: in a document
     with a smaller id, or before in the same one."""
-    body = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(text).alias("text"))
-    size = body.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(shuffle_partitions(docs.sparkSession), size // 30 // TASK_ANCHORS)
-    parcels = body.mapInPandas(_send_anchors(n), "bucket int, ids binary, counts binary, ranks binary, reaches binary, positions binary, sides binary")
+    spark = body.sparkSession
+    n = max(shuffle_partitions(spark), size // 30 // TASK_ANCHORS)
+    known = spark.sparkContext.broadcast(crowded_ranks(body, crowded))
+    parcels = body.mapInPandas(_send_anchors(n, known), _PARCELS)
     marks = stored(parcels.groupBy("bucket").applyInPandas(_rank(hot), "id long, start long, windows int, position long, rank long, hot boolean"), "substrings-marks")
 
     of_open = marks.where("rank >= 0").groupBy("id").agg(F.collect_list(F.struct("rank", "position", "start", "windows", "hot")).alias("marks"))
@@ -307,24 +379,28 @@ def _without(body: bytes, spans) -> tuple[int, int, bytes]:
     return int(gone.sum()), runs, np.frombuffer(body, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, crowded: int = CROWDED) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): kept has the bytes of each document that stay.
 
-    Defined cases: a null text counts as empty; a text of fewer than 100 bytes has nothing to remove; rows that
-    repeat a document's id and text are that document, and get the same result each; ids are integers; other
-    columns are ignored; an empty table gives no row.
+    Strings are compared by hashes: 48 bits of an anchor's together with 56 of all around it, or with 64 of the window.
+    Among N anchors about N * N / 2 ** 105 pairs, under one in a million for 10 ** 12, are taken as equal and aren't.
+    Defined cases: a null text counts as empty; a text of fewer than 100 bytes has nothing to remove; rows that repeat
+    a document's id and text are that document, and get the same result each; rows of one id with different texts are
+    documents of their own, in the order of a hash of their texts; null ids come last; ids may be of any type that has
+    an order; other columns are ignored; an empty table gives no row.
     """
-    body = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(text).alias("text"))
+    body, size = keyed(docs, doc_id, text)
+    kind = body.schema["own"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             bodies = [unpress.decompress(b, max_output_size=1 << 31) for b in batch["body"]]
             kept = [_without(b, s) for b, s in zip(bodies, batch["spans"])]
-            yield pd.DataFrame({doc_id: batch["id"], "n_bytes": [len(b) for b in bodies], "n_removed": [k[0] for k in kept], "n_spans": [k[1] for k in kept], "kept": [k[2] for k in kept]})
+            yield pd.DataFrame({doc_id: batch["own"], "n_bytes": [len(b) for b in bodies], "n_removed": [k[0] for k in kept], "n_spans": [k[1] for k in kept], "kept": [k[2] for k in kept]})
 
-    joined = _packed(body).join(repeated_spans(docs, doc_id, text, hot), "id", "left")
-    return joined.mapInPandas(cut, f"`{doc_id}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = _packed(body).join(repeated_spans(body.select("id", "text"), size, hot, crowded), "id", "left")
+    return joined.mapInPandas(cut, f"`{doc_id}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
