@@ -22,15 +22,9 @@ from larkspan.llm.shingles import mix
 
 _U = np.uint64
 _MUL = _U(0xD6E8FEB86659FD93)
-#: The CGK walk index, by which items were found before; find_items does without it, as its recall at 0.8 is too low.
-WALKS, TABLES, SAMPLED = 6, 24, 4
-#: Steps of a walk for each byte of the window; a step moves on by half a byte on average.
-STEPS = 1.6
-#: Window sizes in bytes grow by this factor from the smallest.
-SMALLEST, GROWTH = 16, 1.25
 SIMILARITY = 0.8
-#: Items of fewer words are looked for without edits, and only where no letter or digit stands beside them.
-LEAST_WORDS = 5
+#: Items of fewer words and characters are looked for without edits, and only where no letter or digit stands beside.
+LEAST_WORDS, LEAST_CHARS = 5, 25
 #: Of k random edits' gaps so many are expected to be as long as a seed: a passage without one has a chance of exp(-KEPT).
 KEPT = 2.8
 MOST_SEED = 16
@@ -42,50 +36,9 @@ BLOCK, ALIGNED = 1 << 20, 1024
 BITS = 21
 
 
-def window_size(n_bytes: int) -> int:
-    size = SMALLEST
-    while (bigger := max(size + 1, int(size * GROWTH))) <= n_bytes:
-        size = bigger
-    return size
-
-
-@lru_cache(maxsize=64)
-def _walk(walk: int, steps: int) -> np.ndarray:
-    """For each step and symbol, whether the pointer moves on; a longer walk begins like a shorter one."""
-    return np.random.default_rng(1000 + walk).integers(0, 2, (steps, 256), np.uint8)
-
-
-@lru_cache(maxsize=256)
-def _sampled(size: int, table: int) -> tuple[int, ...]:
-    """The sampled steps of a table for windows of this size."""
-    return tuple(sorted(np.random.default_rng(size * 1000 + table).choice(int(size * STEPS), SAMPLED, replace=False).tolist()))
-
-
-def walk_keys(codes: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
-    """The LSH keys (starts x sizes x TABLES) of the windows of each size at ``starts``; ``codes`` is folded and
-    ends with zero bytes."""
-    keys = np.zeros((len(starts), len(sizes), TABLES), _U)
-    steps = int(max(sizes) * STEPS)
-    for walk in range(WALKS):
-        at: dict[int, list[tuple[int, int]]] = {}
-        for k, size in enumerate(sizes):
-            for table in range(walk, TABLES, WALKS):
-                for step in _sampled(size, table):
-                    at.setdefault(step, []).append((k, table))
-        moves, pointer = _walk(walk, steps), starts.astype(np.int64)
-        last = len(codes) - 1
-        for step in range(max(at) + 1):
-            symbol = codes[pointer]
-            for k, table in at.get(step, ()):
-                keys[:, k, table] = keys[:, k, table] * _MUL + symbol + _U(1)
-            pointer = np.minimum(pointer + moves[step][symbol], last)
-    salt = np.array([[mix(np.array([size * 1000 + table], _U))[0] for table in range(TABLES)] for size in sizes], _U)
-    return mix(keys * _MUL + salt)
-
-
 def edits(n_chars: int, n_words: int, similarity: float) -> int:
     """The most edits with which an item is still found."""
-    return int((1 - similarity) * n_chars) if n_words >= LEAST_WORDS else 0
+    return int((1 - similarity) * n_chars) if n_words >= LEAST_WORDS or n_chars >= LEAST_CHARS else 0
 
 
 def seed_length(n_chars: int, k: int, similarity: float) -> int:
@@ -113,8 +66,9 @@ class Seeds:
     def __init__(self, items: list[tuple], similarity: float):
         self.items = [(i, t) for i, t in items if t.split()]
         self.codes = [symbols(t) for _, t in self.items]
-        self.words = [len(t.split()) for _, t in self.items]
-        self.most = np.array([edits(len(c), w, similarity) for c, w in zip(self.codes, self.words)], np.int64)
+        words = [len(t.split()) for _, t in self.items]
+        self.verbatim = [w < LEAST_WORDS and len(c) < LEAST_CHARS for c, w in zip(self.codes, words)]
+        self.most = np.array([edits(len(c), w, similarity) for c, w in zip(self.codes, words)], np.int64)
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
         lengths = [seed_length(len(c), k, similarity) for c, k in zip(self.codes, self.most)]
         self.lengths = sorted(set(lengths))
@@ -288,7 +242,7 @@ def matches(seeds: Seeds, texts: list[str]) -> Iterator[tuple[int, int, int, int
         a = int(low[k] - begins[doc])
         pattern, text = seeds.items[x][1].translate(_LOWER), texts[doc]
         body = text[a : int(high[k] - begins[doc])].translate(_LOWER)
-        if seeds.words[x] < LEAST_WORDS:
+        if seeds.verbatim[x]:
             beside = (text[max(a - 1, 0) : a] + pattern[:1]).isalnum() * a or (pattern[-1:] + text[a + len(pattern) : a + len(pattern) + 1]).isalnum() * (a + len(pattern) < len(text))
             if body == pattern and not beside:
                 got.setdefault((doc, x), []).append((0, a, a + len(pattern)))
@@ -304,25 +258,53 @@ def matches(seeds: Seeds, texts: list[str]) -> Iterator[tuple[int, int, int, int
         yield from ((doc, x, s, e, distance) for distance, s, e in kept)
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """From where to where texts of about BLOCK characters reach."""
+    a = size = 0
+    for b, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= BLOCK or b == len(texts):
+            yield a, b
+            a, size = b, 0
+
+
 def _scan(sent, schema: list[str]):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = sent.value
         for batch in batches:
             ids, texts = batch["id"].to_numpy(), list(batch["text"])
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size < BLOCK):
-                    size += len(texts[b])
-                    b += 1
+            for a, b in _blocks(texts):
                 rows = [(ids[a + d], seeds.items[x][0], s, e, n, 1 - n / len(seeds.items[x][1])) for d, x, s, e, n in matches(seeds, texts[a:b])]
                 if rows:
                     yield pd.DataFrame(rows, columns=schema)
-                a = b
 
     return scan
 
 
+def _clean(sent):
+    """A function from texts to whether none of the seeds' items is in them."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out, whole = np.ones(len(texts), bool), list(texts)
+        for a, b in _blocks(whole):
+            out[[a + d for d, *_ in matches(sent.value, whole[a:b])]] = False
+        return pd.Series(out)
+
+    return clean
+
+
+def _parcels(items: DataFrame, item_id: str, text: str, similarity: float) -> Iterator:
+    """The broadcast seeds of about PARCEL characters of items at a time."""
+    known = items.select(F.col(f"`{item_id}`").alias("item_id"), text_of(text).alias("text")).where(F.col("text") != "")
+    parcels = ceil((known.agg(F.sum(F.length("text"))).first()[0] or 0) / PARCEL)
+    for k in range(parcels):
+        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parcels)) == k).collect()
+        seeds = Seeds([(r["item_id"], r["text"]) for r in part], similarity)
+        if seeds.lengths:
+            yield items.sparkSession.sparkContext.broadcast(seeds)
+
+
 def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, item_id, start, end, distance, similarity): passages of documents that are items, or nearly.
 
@@ -331,32 +313,30 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     nearest of those that overlap. Start and end are in characters. What is broadcast is a parcel of items of a
     fixed size, with its seeds; there are as many passes over the documents as parcels. Defined cases: a null or
     empty text has no items; items that are null or have no words are left out; those of fewer than LEAST_WORDS
-    words are found verbatim, between characters that are no letters or digits; items that repeat are found each
-    under its id; a repeated document repeats its rows; other columns are ignored; an empty table on either side
-    gives no row.
+    words and LEAST_CHARS characters are found verbatim, between characters that are no letters or digits; items that
+    repeat are found each under its id; a repeated document repeats its rows, and rows of one id or of none are
+    searched each; other columns are ignored; an empty table on either side gives no row.
     """
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{doc_id}`").alias("id"), text_of(text).alias("text"))
-    known = items.select(F.col(f"`{item_id}`").alias("item_id"), text_of(text).alias("text")).where(F.col("text") != "")
-    kinds = {c: body.schema["id"].dataType.simpleString() if c == "id" else known.schema["item_id"].dataType.simpleString() for c in ("id", "item_id")}
-    found = f"id {kinds['id']}, item_id {kinds['item_id']}, start long, end long, distance int, similarity double"
+    kinds = body.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    found = f"id {kinds[0]}, item_id {kinds[1]}, start long, end long, distance int, similarity double"
     names = [F.col("id").alias(doc_id), F.col("item_id").alias(item_id), "start", "end", "distance", "similarity"]
-    parcels = ceil((known.agg(F.sum(F.length("text"))).first()[0] or 0) / PARCEL)
     out = None
-    for k in range(parcels):
-        # about PARCEL characters
-        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parcels)) == k).collect()
-        seeds = Seeds([(r["item_id"], r["text"]) for r in part], similarity)
-        if seeds.lengths:
-            sent = spark.sparkContext.broadcast(seeds)
-            rows = body.mapInPandas(_scan(sent, ["id", "item_id", "start", "end", "distance", "similarity"]), found)
-            out = rows if out is None else out.unionByName(rows)
+    for sent in _parcels(items, item_id, text, similarity):
+        rows = body.mapInPandas(_scan(sent, ["id", "item_id", "start", "end", "distance", "similarity"]), found)
+        out = rows if out is None else out.unionByName(rows)
     return (spark.createDataFrame([], found) if out is None else out).select(names)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents in which an item is found; columns stay as they are."""
-    return docs.join(find_items(docs, items, doc_id, text).select(doc_id).distinct(), doc_id, "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the documents in which an item is found; columns stay as they are.
+
+    Each row is judged by its own text where it lies, without a join, so that null or repeated ids and repeated rows
+    stay or go as their texts do; a null or empty text stays; items as for :func:`find_items`."""
+    for sent in _parcels(items, item_id, text, similarity):
+        docs = docs.where(_clean(sent)(text_of(text)))
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

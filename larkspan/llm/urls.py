@@ -23,8 +23,6 @@ ORDER = 3
 #: Contexts seen fewer times than this take the shorter context's distribution.
 LEAST = 3
 BINS = 400
-#: Thresholds whose error rates sum to this much more than the least are as good.
-SLACK = 0.05
 _CODES = np.ones(256, np.int64)
 for _i, _c in enumerate(ALPHABET):
     _CODES[ord(_c)] = _i + 2
@@ -123,19 +121,23 @@ def ratio_scores(urls: pd.Series, table: np.ndarray) -> np.ndarray:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score from which on a URL is accepted: least sum of the two error rates on rows (score, accepted),
-    and of the scores with that the one nearest to 0.
+    """The score from which on a URL is accepted, calibrated on rows (score, accepted).
 
-    Only a histogram of BINS cells reaches the driver."""
+    Of the thresholds whose two error rates sum to no more than a standard error above the least sum, the one nearest
+    to 0, where the models themselves are even; the more rows, the less it moves from the least error. Only a
+    histogram of BINS cells reaches the driver. 0 without rows of both."""
     cell = F.least(F.greatest(F.floor(F.col("score") * (BINS / 8) + BINS / 2), F.lit(0)), F.lit(BINS - 1))
     n = np.zeros((2, BINS))
     for accepted, k, rows in scored.groupBy("accepted", cell.alias("k")).count().collect():
         n[int(accepted), k] += rows
-    if not n.sum(1).all():
+    total = n.sum(1, keepdims=True)
+    if not total.all():
         return 0.0
-    below = np.concatenate([np.zeros((2, 1)), np.cumsum(n, 1)], 1) / n.sum(1, keepdims=True)
-    errors = below[1] + 1 - below[0]
-    best = np.flatnonzero(errors <= errors.min() + SLACK)
+    below = np.concatenate([np.zeros((2, 1)), np.cumsum(n, 1)], 1)
+    wrong = np.stack([total[0] - below[0], below[1]])
+    errors, smoothed = (wrong / total).sum(0), (wrong + 1) / (total + 2)
+    spread = np.sqrt((smoothed * (1 - smoothed) / total).sum(0))
+    best = np.flatnonzero(errors <= errors.min() + spread[errors.argmin()])
     return float((best[np.argmin(np.abs(best - BINS / 2))] - BINS / 2) / (BINS / 8))
 
 
@@ -143,15 +145,16 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, s
     """``pages`` with host, path, rule, score and verdict.
 
     The models learn from all URLs that a rule fits, but for a fifth of them (by hash) on which the threshold is
-    set. Defined cases: a null URL or one without ``://`` has empty host and path, no rule, score 0 and verdict
-    block; repeated rows count as often as they come; without URLs of both verdicts every score and the
-    threshold are 0, so that other URLs are allowed. Columns of ``pages`` with the names of new ones are replaced.
+    calibrated. Defined cases: a null URL or one without ``://`` has empty host and path, no rule and score 0, and is judged
+    by the threshold as others are; null or repeated ids matter nowhere; repeated rows count as often as they come;
+    very long URLs are read whole; without URLs of both verdicts every score and the threshold are 0, so that other
+    URLs are allowed; an empty table gives no row. Columns of ``pages`` with the names of new ones are replaced.
     """
     spark = pages.sparkSession
     host, path = url_parts(url)
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
     known = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "_says": says})
-    whole = F.when((F.col("host") == "") & (F.col("path") == ""), F.lit("")).otherwise(F.regexp_replace(F.col(f"`{url}`"), r"(?s)^.*?://", ""))
+    whole = F.when(F.col(f"`{url}`").contains("://"), F.regexp_replace(F.col(f"`{url}`"), r"(?s)^.*?://", "")).otherwise(F.lit(""))
     rows = known.where(F.col("rule").isNotNull()).select(whole.alias("u"), (F.col("_says") == "allow").alias("accepted"))
     aside = F.pmod(F.xxhash64("u"), F.lit(5)) == 0
     table = spark.sparkContext.broadcast(fit_ratio(rows.where(~aside)))
@@ -161,7 +164,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, s
         return pd.Series(ratio_scores(u, table.value))
 
     least = threshold(rows.where(aside).select(score("u").alias("score"), "accepted"))
-    by_model = F.when((F.col("host") == "") & (F.col("path") == ""), "block").when(F.col("score") >= least, "allow").otherwise("block")
+    by_model = F.when(F.col("score") >= least, "allow").otherwise("block")
     scored = known.withColumn("score", score(whole))
     return scored.withColumn("verdict", F.coalesce("_says", by_model)).drop("_says")
 

@@ -42,6 +42,18 @@ def test_special_strings_and_other_scripts_match_the_tokenizer(spark):
     assert found == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
 
 
+def test_every_common_character_has_the_tokenizers_ids():
+    """All that COMMON admits, each alone and beside letters, marks, figures, white space and others of its range."""
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary()
+    encode, own = packing._encoder(path), Tokenizer.from_file(path)
+    admitted = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)] if packing.COMMON.fullmatch(chr(c))]
+    assert len(admitted) > 500
+    texts = [f.format(c=c, d=d) for c, d in zip(admitted, admitted[7:] + admitted[:7]) for f in ("{c}", " {c}", "a{c}b", "{c}{c}", "1{c}2", ".{c}!", "\n{c} \n", "'{c}", "{c}{d}", "{d} {c}", "X{c}{d}9 ", "  {c}  {d}")]
+    assert [encode(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1))
 def test_patterns_hold_every_length(histogram):
