@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def key_of(*parts: Column) -> Column:
-    """sha256 of the parts, joined by bars; a null part is empty."""
-    return F.sha2(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "|"), 256)
+    """sha256 of the parts as a JSON array, in which a null part is null and no bar or quote can be mistaken."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
 def external_or_url(external: Column, url: Column) -> Column:

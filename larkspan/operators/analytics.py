@@ -36,3 +36,9 @@ def skill_trend(members: DataFrame, ts: Column, unit: str, top: int) -> DataFram
         .withColumn("coverage", ratio(F.col("analyzed"), F.col("cohort")))
         .withColumn("share", ratio(F.col("jobs"), F.col("cohort")))
     )
+
+
+def with_totals(cohort: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Each member of the cohort with the number and the sum of its rows; those without stay, with 0."""
+    sums = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return cohort.join(sums, key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0.0))})

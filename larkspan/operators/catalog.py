@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,24 +14,56 @@ def content_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def observation_outcomes(observations: DataFrame, keys: list[str], seen_at: str, order: list[str], content: str) -> DataFrame:
+def observation_outcomes(observations: DataFrame, keys: list[str], seen_at: str, order: list[str], content: str, absent: Callable[[Column], Column] | None = None, legacy: tuple[str, str] | None = None) -> DataFrame:
     """Each observation, in the order of arrival, with its outcome.
 
     created: the first of its key. stale: older than the newest so far. replayed or conflict: as new as the newest,
-    with the same or another content. unchanged or updated: newer, against the content last applied."""
+    with the same or another content. Newer ones are reactivated if the row was absent before, by ``absent`` of the
+    newest time so far; else unchanged or updated, against the content last applied. ``legacy`` names a hash of an
+    older version and the description: where the first is what was applied and the second hasn't changed, the content
+    counts as the same."""
     arrival = Window.partitionBy(*keys).orderBy(*order)
     before = arrival.rowsBetween(Window.unboundedPreceding, -1)
     numbered = observations.withColumn("_n", F.row_number().over(arrival))
     # of equally new ones the first to arrive is the one that was applied
-    applied = F.max_by(content, F.struct(F.col(seen_at), -F.col("_n"))).over(before)
-    return numbered.withColumns({"_newest": F.max(seen_at).over(before), "_content": applied}).withColumn(
+    last = lambda c: F.max_by(c, F.struct(F.col(seen_at), -F.col("_n"))).over(before)
+    known = numbered.withColumns({"_newest": F.max(seen_at).over(before), "_content": last(content)} | ({"_text": last(legacy[1])} if legacy else {}))
+    same, replay = F.col(content) == F.col("_content"), F.col(content) == F.col("_content")
+    if legacy:
+        replay = replay | (F.col(legacy[0]) == F.col("_content"))
+        same = same | ((F.col(legacy[0]) == F.col("_content")) & F.col(legacy[1]).eqNullSafe(F.col("_text")))
+    gone = absent(F.col("_newest")) if absent else F.lit(False)
+    return known.withColumn(
         "outcome",
         F.when(F.col("_newest").isNull(), "created")
         .when(F.col(seen_at) < F.col("_newest"), "stale")
-        .when(F.col(seen_at) == F.col("_newest"), F.when(F.col(content) == F.col("_content"), "replayed").otherwise("conflict"))
-        .when(F.col(content) == F.col("_content"), "unchanged")
+        .when(F.col(seen_at) == F.col("_newest"), F.when(replay, "replayed").otherwise("conflict"))
+        .when(gone, "reactivated")
+        .when(same, "unchanged")
         .otherwise("updated"),
-    ).drop("_newest", "_content", "_n")
+    ).drop("_newest", "_content", "_n", "_text")
+
+
+#: The outcomes that a run counts, by counter.
+COUNTERS = {"items_new": "created", "items_updated": "updated", "items_reactivated": "reactivated", "items_unchanged": "unchanged", "items_stale": "stale", "items_replayed": "replayed", "items_failed": "conflict"}
+
+
+def run_counters(outcomes: DataFrame, run: list[str]) -> DataFrame:
+    """(run, a counter for each outcome, considered)."""
+    counts = [F.count_if(F.col("outcome") == outcome).alias(name) for name, outcome in COUNTERS.items()]
+    return outcomes.groupBy(*run).agg(F.count(F.lit(1)).alias("considered"), *counts)
+
+
+def status_changes(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, order, field, old_value, new_value): a change of status for what was created or came back."""
+    old = F.when(F.col("outcome") == "reactivated", "missing")
+    rows = outcomes.where(F.col("outcome").isin("created", "reactivated"))
+    return rows.select(*keys, *order, F.lit("status").alias("field"), old.alias("old_value"), F.lit("active").alias("new_value"))
+
+
+def sightings(observations: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, first_seen, last_seen, n)."""
+    return observations.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("n"))
 
 
 def change_log(versions: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:

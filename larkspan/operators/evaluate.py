@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.sources.shared import stored
+
 
 def extraction_scores(found: Column, wanted: Column) -> list[Column]:
     """Micro precision, recall and F1 over rows of two arrays, as aggregates."""
@@ -51,3 +53,44 @@ def percentiles(value: str) -> list[Column]:
         F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_nearest"),
         F.percentile(value, F.lit(0.5)).alias("p50"),
     ]
+
+
+def ranked_values(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, below, times, n): each distinct value with the number of smaller ones and of its own, and of all.
+
+    Values are counted, sorted by ranges, and numbered from the counts of the ranges before, so that a group of any
+    size is never in one task or buffer."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("times"))
+    ranges = stored(counted.repartitionByRange(F.col(group), F.col(value)).withColumn("part", F.spark_partition_id()), "ranked-ranges")
+    sums = ranges.groupBy(group, "part").agg(F.sum("times").alias("size"))
+    by_group = Window.partitionBy(group)
+    before = F.coalesce(F.sum("size").over(by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(group, "part", before.alias("before"), F.sum("size").over(by_group).alias("n"))
+    inside = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranges.withColumn("inside", F.coalesce(F.sum("times").over(inside), F.lit(0))).join(offsets, [group, "part"])
+    return numbered.select(group, value, (F.col("before") + F.col("inside")).alias("below"), "times", "n")
+
+
+def percentiles_by_rank(rows: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
+    """(group, linear, nearest, floor, median, most) by a group of any size: the percentile interpolated between its
+    neighbours, the one of the nearest rank, the one at the rank cut to a whole number, the median and the maximum."""
+    ranked = ranked_values(rows, group, value)
+    at = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("times")), F.col(value)))
+    last = F.col("n") - 1
+    found = ranked.groupBy(group, "n").agg(
+        at(F.floor(last * share)).alias("low"), at(F.ceil(last * share)).alias("high"), at(F.ceil(F.col("n") * share) - 1).alias("nearest"),
+        at(F.greatest(F.floor(F.col("n") * share) - 1, F.lit(0))).alias("floor"),
+        at(F.floor(last / 2)).alias("half"), at(F.ceil(last / 2)).alias("other_half"), F.max(value).alias("most"),
+    )
+    between = last * share - F.floor(last * share)
+    return found.select(group, (F.col("low") + (F.col("high") - F.col("low")) * between).alias("linear"), "nearest", "floor", ((F.col("half") + F.col("other_half")) / 2).alias("median"), "most")
+
+
+def distinct_sorted(value: str) -> Column:
+    return F.array_sort(F.collect_set(value))
+
+
+def counts_of(rows: DataFrame, column: str, kinds: list[str]) -> DataFrame:
+    """(column, n) for each kind, 0 for those that don't occur."""
+    listed = rows.sparkSession.createDataFrame([(k,) for k in kinds], f"{column} string")
+    return listed.join(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "left").withColumn("n", F.coalesce("n", F.lit(0)))

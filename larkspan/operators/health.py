@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from statistics import median
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The classes of error codes; all others are unexpected.
+POLICY = ("invalid_url", "policy_blocked", "redirect_blocked", "source_config_mismatch")
+TRANSIENT = ("dns_failure", "network_error", "network_timeout", "rate_limited", "server_error")
+PLATFORM = ("persistence_failed", "run_not_found", "snapshot_not_found", "unexpected_error")
+OPERATOR = ("cancelled", "operator_cancelled")
+
 
 def baseline(runs: DataFrame, source: str, order: list[str], items: str, frame: int = 5) -> Column:
     """The median of the source's ``frame`` runs before, cut to a whole number; null without any."""
@@ -38,3 +48,44 @@ def finalized(error: Column, processed: Column, found: Column, covered: Column)
     a run that succeeded, covered its listing and found something is complete."""
     status = F.when(~error, "succeeded").when(processed > 0, "partial").otherwise("failed")
     return status, F.when((status == "succeeded") & covered & (found > 0), "complete").otherwise("incomplete")
+
+
+def error_class(code: Column) -> Column:
+    return F.when(code.isin(*POLICY), "policy").when(code.isin(*TRANSIENT), "transient").when(code.isin(*PLATFORM), "platform").when(code.isin(*OPERATOR), "operator").when(code.isNotNull(), "other")
+
+
+def health_machine(runs: DataFrame, source: str, order: str, items: str, code: str, frame: int = 5, least: int = 2, share: float = 0.5) -> DataFrame:
+    """(source, order, status, reason, signal, failures, complete) after each run; ``code`` is null for a complete one.
+
+    A complete run with fewer than ``share`` of the median of the last ``frame`` complete ones, if they are ``least``
+    at least, is a drop: it counts as incomplete from then on, so that each run depends on those before. Success heals;
+    policy errors quarantine; transient ones degrade, and are unhealthy at the third failure; platform errors are
+    unhealthy; others degrade, and quarantine at the second failure; an operator's change nothing but the reason.
+    Runs are sorted by source, and each task walks its rows once with one source's state in hand."""
+    kinds = dict(runs.dtypes)
+    names = [source, order, "status", "reason", "signal", "failures", "complete"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, status, failures, counts = None, "healthy", 0, []
+        for batch in batches:
+            out = []
+            for s, at, n, said, kind in zip(batch[source], batch[order], batch[items], batch[code], batch["class"]):
+                if s != current:
+                    current, status, failures, counts = s, "healthy", 0, []
+                base = int(median(counts)) if counts else 0
+                reason = signal = said
+                complete = kind is None
+                if complete and len(counts) >= least and n < base * share:
+                    status, failures, complete, reason, signal = "degraded", failures + 1, False, "inventory_drop_anomaly", "inventory_drop_anomaly"
+                elif complete:
+                    signal = None if status == "healthy" else "source_recovered"
+                    status, failures, counts = "healthy", 0, [*counts, n][-frame:]
+                elif kind != "operator":
+                    failures += 1
+                    late = {"policy": 1, "platform": 1, "transient": 3, "other": 2}[kind]
+                    status = "degraded" if failures < late else "quarantined" if kind in ("policy", "other") else "unhealthy"
+                out.append((s, at, status, reason, signal, failures, complete))
+            yield pd.DataFrame(out, columns=names)
+
+    dealt = runs.select(source, order, items, code, error_class(F.col(code)).alias("class")).repartition(F.col(source)).sortWithinPartitions(source, order)
+    return dealt.mapInPandas(walk, f"{source} {kinds[source]}, {order} {kinds[order]}, status string, reason string, signal string, failures int, complete boolean")

@@ -47,3 +47,25 @@ def overall(components: dict[str, Column]) -> tuple[Column, Column]:
 
 def top_matches(scored: DataFrame, score: str, key: str, most: int = 100) -> DataFrame:
     return scored.orderBy(F.desc(score), key).limit(most)
+
+
+def semantic_component(similarity: Column) -> Column:
+    """A similarity in [0, 1] to four digits; null stays null, and so becomes what isn't a number in the range."""
+    return F.when(similarity.between(0, 1) & ~F.isnan(similarity), score4(similarity))
+
+
+def explanation(skill: Column, semantic: Column, experience: Column, location: Column, role: Column) -> Column:
+    """Five tokens, one for each component."""
+    said = lambda c, name, yes, no: F.when(c.isNull(), f"{name}_unavailable").when(c == 1, f"{name}_{yes}").otherwise(f"{name}_{no}")
+    of_skill = F.when(skill.isNull(), "skill_unavailable").when(skill == 1, "skill_complete").when(skill > 0, "skill_partial").otherwise("skill_no_match")
+    of_meaning = F.when(semantic.isNull(), "semantic_unavailable").otherwise("semantic_available")
+    return F.array(of_skill, of_meaning, said(experience, "experience", "meets_minimum", "below_minimum"), said(location, "location", "match", "mismatch"), said(role, "role", "match", "mismatch"))
+
+
+def generation_report(scored: DataFrame, stored: DataFrame, existing: DataFrame, key: str, available: Column) -> DataFrame:
+    """One row: how many were considered, analysed or not, stored, and of those made now or there before."""
+    considered = scored.agg(F.count(F.lit(1)).alias("considered"), F.count_if(available).alias("available"), F.count_if(~available).alias("unavailable"))
+    before = existing.select(key).distinct().withColumn("_there", F.lit(True))
+    kept = stored.join(before, key, "left").agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.col("_there").isNull()).alias("created"), F.count("_there").alias("reused"))
+    # one row each
+    return considered.crossJoin(kept)

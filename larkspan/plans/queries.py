@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import jobs, numeric, text, time
-from larkspan.operators import alerts, analytics, candidates, catalog, evaluate, health, limits, match, quality, rows, search
+from larkspan.operators import alerts, analytics, candidates, catalog, evaluate, health, identity, limits, match, quality, rows, search
 from larkspan.sources.shared import shared_path
 from larkspan.sources.tables import table
 from larkspan.streaming import state
@@ -126,7 +126,7 @@ def observed_by_either_key(spark, d):
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_derived(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return identity.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"], {})
 
 
 _NEAREST = """
@@ -410,7 +410,7 @@ def extraction_baseline(spark, d):
 SELECT c_custkey, first_seen, last_seen, n FROM (SELECT o_custkey AS c_custkey, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, count(*) AS n FROM orders GROUP BY 1)
 """)
 def first_and_last_seen(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("first_seen"), F.max("o_orderdate").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+    return catalog.sightings(table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], "o_orderdate")
 
 
 def _streamed(spark, d: str, name: str, transform) -> DataFrame:
@@ -471,9 +471,9 @@ WITH v AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orders
 SELECT c_custkey, count(o_orderkey) AS open_orders, round(coalesce(sum(o_totalprice), 0.0), 2) AS open_price FROM customer LEFT JOIN v ON o_custkey = c_custkey GROUP BY 1
 """)
 def left_join_denominator(spark, d):
-    open_orders = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    joined = table(spark, d, "customer").select("c_custkey").join(open_orders, "c_custkey", "left")
-    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("open_orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("open_price"))
+    open_orders = table(spark, d, "orders").where("o_orderstatus = 'O'").withColumnRenamed("o_custkey", "c_custkey")
+    totals = analytics.with_totals(table(spark, d, "customer").select("c_custkey"), open_orders, "c_custkey", "o_totalprice")
+    return totals.select("c_custkey", F.col("n").alias("open_orders"), F.round("total", 2).alias("open_price"))
 
 
 @query(r"""
