@@ -18,35 +18,42 @@ from larkspan.functions.jobs import challenged
 
 MOST_BYTES = 10_000_000
 MOST_ROWS, MOST_COLUMNS, MOST_CELL = 500, 64, 65_536
-#: The names under which a record may have each field.
+#: The names under which a record may have each field; the first that is there counts, even with null.
 FIELDS = {
     "title": ("title", "name"),
-    "company": ("hiringOrganization", "company", "company_name", "employer"),
-    "url": ("url", "link", "job_url"),
-    "external_id": ("external_id", "id", "identifier"),
-    "location": ("jobLocation", "location"),
-    "description": ("description", "summary"),
-    "posted_at": ("datePosted", "posted_at", "date"),
+    "company": ("company", "company_name", "employer"),
+    "url": ("url", "jobUrl", "job_url", "link", "absolute_url"),
+    "external_id": ("id", "externalId", "external_id"),
+    "location": ("location", "location_name"),
+    "level": ("level", "level_raw", "seniority"),
+    "description": ("description", "description_text"),
+    "posted_at": ("datePosted", "postedAt", "posted_at"),
 }
-SCHEMA = "doc_id long, method string, title string, company string, url string, external_id string, location string, description string, posted_at string, confidence double"
+#: Where a posting has them otherwise.
+INSIDE = {"company": ("hiringOrganization", "name"), "external_id": ("identifier", "value"), "location": ("jobLocation", "address", "addressLocality")}
+SCHEMA = "doc_id long, method string, title string, company string, url string, external_id string, location string, level string, description string, posted_at string, confidence double"
 CONFIDENCE = {"json_ld": 0.94, "json": 0.90, "csv": 0.86, "cards": 0.82}
 
 
 def _plain(value) -> str | None:
-    """A scalar's or a named thing's text, white space collapsed."""
-    if isinstance(value, list):
-        value = value[0] if value else None
-    if isinstance(value, dict):
-        value = value.get("name") or value.get("value") or value.get("addressLocality") or value.get("address")
-        return _plain(value)
-    if value is None or isinstance(value, bool):
+    """A scalar's text, white space collapsed."""
+    if value is None or isinstance(value, (bool, dict, list)):
         return None
     return " ".join(str(value).split()) or None
 
 
+def _inside(record, path: tuple[str, ...]):
+    """What lies at the path, through the first entry of a list."""
+    for name in path:
+        record = record[0] if isinstance(record, list) and record else record
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
+
+
 def _candidate(record: dict, base: str, method: str) -> dict | None:
     """The candidate of a record with a title, a company and an https address on the base's host."""
     found = {field: next((_plain(record[n]) for n in names if n in record), None) for field, names in FIELDS.items()}
+    found |= {field: _plain(_inside(record, path)) for field, path in INSIDE.items() if found[field] is None}
     if not (found["title"] and found["company"] and found["url"]):
         return None
     address = urlsplit(urljoin(base, found["url"]))

@@ -453,7 +453,7 @@ def document_candidates(spark, d):
     documents = table(spark, d, "part").select(
         F.col("p_partkey").alias("doc_id"), F.to_json(F.struct(F.array(record).alias("jobs"))).alias("payload"), F.lit("application/json").alias("content_type"), F.lit("https://shop.example.com/list").alias("base_url")
     )
-    return candidates.parse_documents(documents).drop("description", "posted_at")
+    return candidates.parse_documents(documents).drop("level", "description", "posted_at")
 
 
 @query("""

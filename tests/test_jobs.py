@@ -1,10 +1,11 @@
+import json
 import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.functions import jobs
+from larkspan.functions import jobs, text
 from larkspan.operators import candidates
 
 
@@ -102,3 +103,23 @@ def test_text_facts_read_every_line(spark, tmp_path):
 
     found = {r["doc_id"]: (r["experience"], r["salary"]) for r in text_facts(spark, str(tmp_path)).collect()}
     assert found == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_names_and_places_of_fields_in_records(spark):
+    def parsed(*records):
+        docs = [(1, json.dumps({"jobs": list(records)}), "application/json", "https://jobs.example.com/list")]
+        return candidates.parse_documents(spark.createDataFrame(docs, "doc_id long, payload string, content_type string, base_url string")).collect()
+
+    plain = {"name": "T", "employer": "E", "absolute_url": "/a", "externalId": "x1", "location_name": "Hanoi", "seniority": "senior", "description_text": "d", "postedAt": "2024"}
+    nested = {"title": "T", "hiringOrganization": {"name": "H"}, "link": "/b", "identifier": {"value": 7}, "jobLocation": [{"address": {"addressLocality": "Hue"}}]}
+    both = {"title": "T", "company": "C", "hiringOrganization": {"name": "H"}, "jobUrl": "/c", "job_url": "/other", "id": None, "externalId": "no"}
+    found = parsed(plain, nested, both, {"title": None, "name": "T", "company": "C", "url": "/d"})
+    assert [(r["title"], r["company"], r["url"][-2:], r["location"], r["level"], r["description"], r["posted_at"]) for r in found] == [
+        ("T", "E", "/a", "Hanoi", "senior", "d", "2024"), ("T", "H", "/b", "Hue", None, None, None), ("T", "C", "/c", None, None, None, None),
+    ]
+    assert [r["external_id"] for r in found[:2]] == ["x1", "7"] and len(found[2]["external_id"]) == 64
+
+
+def test_contacts_are_redacted(spark):
+    said = "Mail Ann.B@x-y.co or +84 90 123 45 67, (0)912.345.678, not 0123456789012 nor 12345"
+    assert one(spark, text.redact_contacts, said) == "Mail [redacted-email] or [redacted-phone], ([redacted-phone], not 0123456789012 nor 12345"
