@@ -46,3 +46,8 @@ def cost(prompt: Column, cached: Column, output: Column, prices: tuple[float, fl
     """Estimated cost of a request by prices a million tokens (cached, other prompt, output)."""
     hit = F.coalesce(cached, F.lit(0))
     return F.round((hit * prices[0] + (prompt - hit) * prices[1] + output * prices[2]) / 1_000_000, 8)
+
+
+def payload_hash(payload: Column) -> Column:
+    """sha256 of the bytes as they came."""
+    return F.sha2(payload.cast("binary"), 256)

@@ -34,3 +34,8 @@ def cosine(a: Column, b: Column) -> Column:
 def valid_vector(v: Column, dimension: int) -> Column:
     """Whether a vector has the right length and only finite numbers."""
     return (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def throughput(items: Column, milliseconds: Column) -> Column:
+    """Items a second; null where no time went by."""
+    return F.when(milliseconds > 0, items * 1000.0 / milliseconds)

@@ -38,6 +38,16 @@ def normalize_multiline(text: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: _lines(t, True)), "string")(text)
 
 
+def canonical_text(text: Column) -> Column:
+    """Lower case with white space collapsed, for places and roles."""
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+
+
+def clean_mentions(mentions: Column) -> Column:
+    """Each mention trimmed with white space collapsed; empty ones go."""
+    return F.filter(F.transform(mentions, lambda m: F.trim(F.regexp_replace(m, r"(?U)\s+", " "))), lambda m: m != "")
+
+
 def redact_emails(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, "[email]")
 

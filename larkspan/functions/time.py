@@ -36,3 +36,21 @@ def wall_slot(now: Column, minute_of_day: Column, zone: Column, weekday: Column
     step = 7 if weekday is not None else 1
     at = lambda back: F.to_utc_timestamp(F.date_add(day, -back).cast("timestamp") + F.make_dt_interval(mins=minute_of_day), zone)
     return F.when(at(0) <= now, at(0)).otherwise(at(step))
+
+
+def iso_utc(text: Column) -> Column:
+    """struct(at, warning) of an ISO time: only one with an offset or Z is a moment; else null, with a warning."""
+    shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?")
+    has_offset = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    at = F.when(shaped & has_offset, F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    warning = F.when(text.isNull() | at.isNotNull(), None).when(shaped & ~has_offset, "time_without_zone").otherwise("time_invalid")
+    return F.struct(at.alias("at"), warning.alias("warning"))
+
+
+def duration_ms(start: Column, end: Column) -> Column:
+    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+
+
+def within_budget(start: Column, now: Column, seconds: Column, deadline: Column) -> Column:
+    """Whether ``now`` is before the deadline and the end of the budget, whichever comes first."""
+    return now < F.least(deadline, start + F.make_dt_interval(secs=seconds))

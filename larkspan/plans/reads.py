@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspan.functions import arrays
+from larkspan.functions import arrays, jobs, keys, numeric, text, time
 from larkspan.operators import identity, listing, search
 from larkspan.plans.queries import query
 from larkspan.sources.tables import table
@@ -112,3 +112,46 @@ def resolved_identity(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_orderkey").alias("external_id"), F.col("l_partkey").alias("canonical_url"), "l_linenumber")
     jobs = lines.groupBy("source_id").agg(F.min("external_id").alias("external_id"), F.min("canonical_url").alias("canonical_url")).withColumn("job_id", F.col("source_id"))
     return identity.resolve(lines, jobs, "l_linenumber").select(F.col("external_id").alias("l_orderkey"), "l_linenumber", "job_id", "error")
+
+
+@query("""
+WITH t AS (SELECT event_id, date_trunc('second', ts) AS said FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN said WHEN 1 THEN said - INTERVAL 7 HOUR END AS moment, CASE event_id % 4 WHEN 2 THEN 'time_without_zone' WHEN 3 THEN 'time_invalid' END AS warning FROM t
+""")
+def iso_times(spark, d):
+    kind = F.col("event_id") % 4
+    said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(kind == 0, "Z").when(kind == 1, "+0700").otherwise(""))
+    read = time.iso_utc(F.when(kind == 3, F.concat(F.lit("on "), said)).otherwise(said))
+    return table(spark, d, "events").select("event_id", read["at"].alias("moment"), read["warning"].alias("warning"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, count(*) AS items, min(epoch_ms(o_orderdate::TIMESTAMP)) AS a, max(epoch_ms(l_shipdate::TIMESTAMP)) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT l_orderkey, b - a AS ms, round(CASE WHEN b > a THEN items * 1000.0 / (b - a) END, 12) AS throughput FROM r
+""")
+def run_durations(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    runs = table(spark, d, "lineitem").join(orders, "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items"), F.min("o_orderdate").alias("a"), F.max("l_shipdate").alias("b"))
+    ms = time.duration_ms(F.col("a"), F.col("b"))
+    return runs.select("l_orderkey", ms.alias("ms"), F.round(numeric.throughput(F.col("items"), ms), 12).alias("throughput"))
+
+
+_NAMES = ["Python", "k8s", "sql", "Widget  craft", "python"]
+
+
+@query("""
+WITH m AS (SELECT p_partkey, [['python', 'kubernetes', 'sql', 'widget-craft', 'python'][p_partkey % 5 + 1], ['python', 'kubernetes', 'sql', 'widget-craft', 'python'][p_size % 5 + 1]] AS n FROM part)
+SELECT p_partkey, CASE WHEN n[1] = n[2] THEN 'rejected' WHEN list_contains(n, 'widget-craft') THEN 'needs_review' ELSE 'accepted' END AS status,
+  array_to_string(list_transform(CASE WHEN n[1] = n[2] THEN n[1:1] ELSE n END, lambda x: x || ':' || CASE x WHEN 'python' THEN 'language' WHEN 'kubernetes' THEN 'devops' WHEN 'sql' THEN 'database' ELSE 'other' END), ',') AS skills FROM m
+""")
+def skill_classes(spark, d):
+    names = F.array(*map(F.lit, _NAMES))
+    mention = lambda c: F.struct(F.element_at(names, (F.col(c) % 5 + 1).cast("int")).alias("name"), F.lit("required").alias("requirement"))
+    found = table(spark, d, "part").select("p_partkey", jobs.classified_skills(F.array(mention("p_partkey"), mention("p_size"))).alias("c"))
+    joined = F.array_join(F.transform("c.skills", lambda s: F.concat_ws(":", s["name"], s["category"])), ",")
+    return found.select("p_partkey", F.col("c.status").alias("status"), joined.alias("skills"))
+
+
+@query("SELECT doc_id, sha256(text) AS payload, sha256(lower(source || ' ' || lang)) AS name FROM documents")
+def payload_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", keys.payload_hash(F.col("text")).alias("payload"), keys.payload_hash(text.canonical_text(F.concat("source", F.lit("  "), "lang"))).alias("name"))

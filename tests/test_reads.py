@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.functions import arrays, keys
+from larkspan.functions import arrays, jobs, keys, numeric, text, time
 from larkspan.operators import catalog, evaluate, health, identity, listing, match
 
 
@@ -102,3 +102,20 @@ def test_identity_helpers(spark):
     assert {(r["name"], r["requirement"]) for r in identity.strongest(mentions, ["job"], "name", "requirement", match.REQUIREMENTS).collect()} == {("sql", "required"), ("go", "optional")}
     versions = spark.createDataFrame([(1, 1, "text", False), (1, 2, None, True), (1, 3, None, False)], "k long, n long, body string, partial boolean")
     assert [r["body"] for r in identity.keep_description(versions, ["k"], ["n"], "body", F.col("partial")).orderBy("n").collect()] == ["text", "text", None]
+
+
+def test_times_and_mentions(spark):
+    rows = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05.5+02:00",), ("2024-01-02 03:04",), ("2024-13-40T00:00:00Z",), (None,)], "t string")
+    got = [(str(r[0]), r[1]) for r in rows.select(time.iso_utc(F.col("t"))["at"], time.iso_utc(F.col("t"))["warning"]).collect()]
+    assert got[0] == ("2024-01-02 03:04:05", None) and got[1][0].startswith("2024-01-02 01:04:05.5") and [g[1] for g in got[2:]] == ["time_without_zone", "time_invalid", None]
+    one = rows.limit(1).select(
+        time.within_budget(*[F.lit(x).cast("timestamp") for x in ("2024-01-01 00:00:00", "2024-01-01 00:00:09")], F.lit(10), F.lit("2024-01-01 00:01:00").cast("timestamp")),
+        text.clean_mentions(F.array(F.lit(" a  b "), F.lit(" "))), text.canonical_text(F.lit(" Ha \n NOI ")), numeric.throughput(F.lit(5), F.lit(0)))
+    assert tuple(one.first()) == (True, ["a b"], "ha noi", None)
+
+
+def test_classified_skills(spark):
+    rows = spark.createDataFrame([([("K8s", "required"), ("kubernetes", "optional")],), ([("sql", "required"), ("SQL", "required")],), ([("basket weaving", "required")],)], "s array<struct<name:string,requirement:string>>")
+    got = [(r[0], [tuple(x) for x in r[1]]) for r in rows.select(jobs.classified_skills(F.col("s"))["status"], jobs.classified_skills(F.col("s"))["skills"]).collect()]
+    assert got[0] == ("accepted", [("kubernetes", "required", "devops", 1.0), ("kubernetes", "optional", "devops", 1.0)])
+    assert got[1] == ("rejected", [("sql", "required", "database", 1.0)]) and got[2] == ("needs_review", [("basket-weaving", "required", "other", 0.5)])
