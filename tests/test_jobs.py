@@ -123,3 +123,8 @@ def test_names_and_places_of_fields_in_records(spark):
 def test_contacts_are_redacted(spark):
     said = "Mail Ann.B@x-y.co or +84 90 123 45 67, (0)912.345.678, not 0123456789012 nor 12345"
     assert one(spark, text.redact_contacts, said) == "Mail [redacted-email] or [redacted-phone], ([redacted-phone], not 0123456789012 nor 12345"
+
+
+def test_most_years(spark):
+    said = {"5 years, then 12+ yrs and 99 years": Decimal("12.0"), "2,5 năm\n1 year": Decimal("2.5"), "none": None, "120 years": None, "3yearsold": None}
+    assert {t: one(spark, jobs.most_years, t) for t in said} == said

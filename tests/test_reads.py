@@ -119,3 +119,8 @@ def test_classified_skills(spark):
     got = [(r[0], [tuple(x) for x in r[1]]) for r in rows.select(jobs.classified_skills(F.col("s"))["status"], jobs.classified_skills(F.col("s"))["skills"]).collect()]
     assert got[0] == ("accepted", [("kubernetes", "required", "devops", 1.0), ("kubernetes", "optional", "devops", 1.0)])
     assert got[1] == ("rejected", [("sql", "required", "database", 1.0)]) and got[2] == ("needs_review", [("basket-weaving", "required", "other", 0.5)])
+
+
+def test_distinct_sorted(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "x string")
+    assert rows.agg(evaluate.distinct_sorted("x")).first()[0] == ["a", "b"]
