@@ -202,10 +202,10 @@ class Lexicon:
 
 def family_keys(texts: pd.Series) -> pd.Series:
     """For each text the keys of BANDS bands of two MinHash values of its five-word shingles."""
-    out = []
+    salts, out = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)), []
     for shingles in shingle_sets(texts):
-        least = [mix(shingles ^ mix(np.array([k + 1], np.uint64))).min(initial=np.uint64(2**64 - 1)) for k in range(2 * BANDS)]
-        out.append([int(mix(np.array([least[2 * k] * np.uint64(31) + least[2 * k + 1] + np.uint64(k)])).astype(np.int64)[0]) for k in range(BANDS)])
+        least = np.array([mix(shingles ^ salt).min(initial=np.uint64(2**64 - 1)) for salt in salts])
+        out.append(mix(least[::2] * np.uint64(31) + least[1::2] + np.arange(BANDS, dtype=np.uint64)).astype(np.int64))
     return pd.Series(out)
 
 
