@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from larkspan.llm import decontaminate, exact, jaccard, packing, paragraphs, quality, secrets, substrings, toxicity, urls
+from larkspan.llm import decontaminate, exact, fingerprints, jaccard, packing, paragraphs, quality, secrets, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_paragraph_dedup": paragraphs.op10_paragraph_dedup,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
 }
 
 ORACLE_SQL = {
     "op7_exact_dedup": exact.OP7_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
+    "op11_fingerprints": fingerprints.OP11_SQL,
 }
