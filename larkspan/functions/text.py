@@ -70,39 +70,79 @@ def canonical_url(url: Column, drop: tuple[str, ...] = TRACKING) -> Column:
     return F.concat(F.lit("https://"), host_of(whole), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
-class _Structured(HTMLParser):
-    """Text of an HTML page: scripts and styles go, headings, items and blocks begin new lines."""
+#: Words in a class or an id that mark what isn't part of a posting.
+NOISE = re.compile(
+    r"(?i)\b(?:box-suggest-job|suggest-jobs?|suggest|box-similar-job|similar-jobs?|similar|job-related|job-relative|"
+    r"box-related-jobs|job-related-version-2|related|relative|recommend|box-recommend|"
+    r"box-company|company-sidebar|company-info|box-author|box-apply|apply-box|apply|box-social|social-share|"
+    r"social|share|box-save-job|box-general-group|general-group|box-safe-job|safe-job|safety|scam|"
+    r"box-feedback|feedback|rating|survey|banner|ads|advertisement|breadcrumb|search-result|"
+    r"job-detail__side|job-detail__sidebar|side-content|sidebar)\b"
+)
+
+
+#: What hides all inside, what has no end, and what begins a new line.
+HIDDEN = frozenset({"script", "style", "template", "noscript", "svg", "iframe", "form"})
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+BREAKS = frozenset({
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "header", "hr", "main", "nav", "ol", "p", "pre",
+    "section", "table", "td", "th", "tr", "ul",
+})
+
 
-    HIDDEN = frozenset({"script", "style", "template", "noscript", "svg"})
-    BLOCKS = frozenset({"p", "div", "section", "article", "br", "ul", "ol", "table", "tr", "header", "footer", "main", "body", "title"})
+class _Structured(HTMLParser):
+    """Text of an HTML page: what is hidden or noise goes with all inside, headings, items and blocks begin new lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden = 0
+        self.open: list[tuple[str, bool]] = []
+
+    def _hides(self, tag, attrs) -> bool:
+        noise = any(name in ("class", "id") and said and NOISE.search(said) for name, said in attrs)
+        return noise or tag in HIDDEN or bool(self.open) and self.open[-1][1]
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif re.fullmatch(r"h[1-6]", tag):
-            self.out.append("\n### ")
+        hidden = self._hides(tag, attrs)
+        if tag not in VOID:
+            self.open.append((tag, hidden))
+        if hidden:
+            return
+        if tag in VOID:
+            self.out.append("\n\n" if tag == "br" else "\n")
+        elif tag in HEADINGS:
+            self.out.append("\n\n### ")
         elif tag == "li":
             self.out.append("\n- ")
-        elif tag in self.BLOCKS:
+        elif tag in BREAKS:
             self.out.append("\n")
 
+    def handle_startendtag(self, tag, attrs):
+        if tag in VOID:
+            self.handle_starttag(tag, attrs)
+
     def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in self.BLOCKS or tag == "li" or re.fullmatch(r"h[1-6]", tag):
-            self.out.append("\n")
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is None:
+            return
+        hidden = self.open[at][1]
+        del self.open[at:]
+        if not hidden and (tag in HEADINGS or tag in BREAKS):
+            self.out.append("\n\n" if tag in HEADINGS or tag == "p" else "\n")
 
     def handle_data(self, data):
-        if not self.hidden:
+        if data.strip() and not (self.open and self.open[-1][1]):
             self.out.append(data)
 
 
-def _html_text(page: str | None) -> str | None:
+def plain_lines(said: str) -> str | None:
+    """Of one text what normalize_multiline gives."""
+    return _lines(said, True)
+
+
+def plain_html(page: str | None) -> str | None:
+    """Of one page what html_to_text gives."""
     if page is None:
         return None
     parser = _Structured()
@@ -115,7 +155,7 @@ def html_to_text(page: Column) -> Column:
     """Structured text of an HTML page: ``### `` before headings, ``- `` before items."""
 
     def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(_html_text)
+        return pages.map(plain_html)
 
     return F.pandas_udf(convert, "string")(page)
 

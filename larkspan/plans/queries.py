@@ -446,14 +446,14 @@ def text_facts(spark, d):
 
 
 @query("""
-SELECT p_partkey AS doc_id, 'json' AS method, p_name AS title, p_brand AS company, 'https://shop.example.com/p/' || p_partkey AS url, CAST(p_partkey AS VARCHAR) AS external_id, p_type AS location, 0.9 AS confidence FROM part
+SELECT p_partkey AS doc_id, 'structured_json' AS method, p_name AS title, p_brand AS company, 'https://shop.example.com/p/' || p_partkey AS url, CAST(p_partkey AS VARCHAR) AS external_id, p_type AS location, 0.9 AS confidence FROM part
 """)
 def document_candidates(spark, d):
     record = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.concat(F.lit("/p/"), "p_partkey").alias("url"), F.col("p_partkey").alias("id"), F.col("p_type").alias("location"))
     documents = table(spark, d, "part").select(
         F.col("p_partkey").alias("doc_id"), F.to_json(F.struct(F.array(record).alias("jobs"))).alias("payload"), F.lit("application/json").alias("content_type"), F.lit("https://shop.example.com/list").alias("base_url")
     )
-    return candidates.parse_documents(documents).drop("level", "description", "posted_at")
+    return candidates.parse_documents(documents).drop("level", "description", "posted_at", "place", "provenance", "warnings")
 
 
 @query("""

@@ -78,10 +78,10 @@ def test_documents(spark):
         (1, ld, "text/html", base), (2, cards, "text/html; charset=utf-8", base), (3, '{"jobs":[{"title":"T","company":"C","url":"https://evil.test/1"},{"title":"T","company":"C","url":"/ok"}]}', "application/json", base),
         (4, "title,company,url\nX,Y,/z\n", "text/csv", base), (5, "title,company,url\nX,Y\n", "text/csv", base), (6, ld + "please solve the captcha", "text/html", base), (7, "{bad", "application/json", base),
     ]
-    found = candidates.parse_documents(spark.createDataFrame(docs, "doc_id long, payload string, content_type string, base_url string")).orderBy("doc_id").collect()
+    found = candidates.parse_documents(spark.createDataFrame(docs, "doc_id long, payload string, content_type string, base_url string")).orderBy("doc_id", "place").collect()
     assert [(r["doc_id"], r["method"], r["title"], r["company"], r["url"]) for r in found] == [
-        (1, "json_ld", "A B", "Co", "https://jobs.example.com/j/1"), (2, "cards", "Dev", "Acme", "https://jobs.example.com/j/2"),
-        (3, "json", "T", "C", "https://jobs.example.com/ok"), (4, "csv", "X", "Y", "https://jobs.example.com/z"),
+        (1, "structured_data", "A B", "Co", "https://jobs.example.com/j/1"), (2, "page_field", "Dev", "Acme", "https://jobs.example.com/j/2"),
+        (3, "structured_json", "T", "C", "https://evil.test/1"), (3, "structured_json", "T", "C", "https://jobs.example.com/ok"), (4, "structured_csv", "X", "Y", "https://jobs.example.com/z"),
     ]
     assert [r["external_id"] for r in found[:2]] == ["7", "9"] and len(found[2]["external_id"]) == 64 and found[1]["location"] == "Hanoi"
 
