@@ -1,15 +1,19 @@
-"""Benchmark items in documents: character seeds, bit-parallel edit distance of all candidates, exact alignment.
-
-A passage at an edit distance of at most k from an item keeps some run of the item's characters as it is. Items are
-cut into all their runs (seeds) of a length that such a passage keeps nearly always, and each place where a
-document has a seed is held against the item's pieces of 64 characters by Myers's algorithm, for thousands of
-places at once; the pieces' distances add up to no more than the item's. What is near enough is then aligned exactly. No condition on words comes before that.
+"""Benchmark items in documents: gapped character seeds, bit-parallel edit distance of all candidates, exact alignment.
+
+Items and documents are looked at without white space and marks. A seed is two runs of four characters, side by side or
+with one character between them on either side, so that it spans an edit: a passage keeps seeds where its edits lie
+evenly, once a word or every five characters, as well as where they leave longer runs. A stretch of a document in which
+an item has enough seeds at like places is held against the item's pieces of 64 characters by Myers's algorithm, for
+thousands of stretches at once; the pieces' distances add up to no more than the item's. What is near enough is then
+aligned exactly, with all characters. No condition on words comes before that.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import ceil, log
 
 import numpy as np
@@ -28,17 +32,24 @@ LEAST_WORDS, LEAST_CHARS = 5, 25
 #: Of k random edits' gaps so many are expected to be as long as a seed: a passage without one has a chance of exp(-KEPT).
 KEPT = 2.8
 MOST_SEED = 16
+#: Items with fewer letters and digits than this, or with fewer than the share, are looked for by plain seeds instead.
+LEAST_FOLDED, LEAST_SHARE = 60, 0.7
+#: Seeds in so many places an item must have in two neighbouring stretches, shorter items than LONG one less; and how
+#: many places of one seed in an item count.
+NEEDED, LONG, PLACES = 3, 150, 4
+#: Pairs of places that are held at once.
+HELD = 1 << 20
 #: Characters of items that are looked for at once; more items take more passes over the documents.
 PARCEL = 2_000_000
 #: Characters of documents in a block, and places aligned at once.
-BLOCK, ALIGNED = 1 << 20, 1024
+BLOCK, ALIGNED = 1 << 20, 2048
 #: The bitmap of the shortest prefixes has 2 ** BITS cells.
 BITS = 21
 
 
 def edits(n_chars: int, n_words: int, similarity: float) -> int:
-    """The most edits with which an item is still found."""
-    return int((1 - similarity) * n_chars) if n_words >= LEAST_WORDS or n_chars >= LEAST_CHARS else 0
+    """The most edits with which an item is still found; a similarity of exactly the least one counts."""
+    return int((1 - similarity) * n_chars + 1e-9) if n_words >= LEAST_WORDS or n_chars >= LEAST_CHARS else 0
 
 
 def seed_length(n_chars: int, k: int, similarity: float) -> int:
@@ -47,13 +58,28 @@ def seed_length(n_chars: int, k: int, similarity: float) -> int:
     return max(1, min(max(n_chars // (k + 1), longer), MOST_SEED))
 
 
-def symbols(text: str) -> np.ndarray:
-    """A byte for each character, A-Z as lower case and white space as a space; rare characters may share one."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _symbols(codes: np.ndarray) -> np.ndarray:
     codes = np.where((codes >= 65) & (codes <= 90), codes + 32, np.where((codes >= 9) & (codes <= 13), 32, codes))
     return ((codes ^ (codes >> 8)) & 255).astype(np.uint8)
 
 
+def symbols(text: str) -> np.ndarray:
+    """A byte for each character, A-Z as lower case and white space as a space; rare characters may share one."""
+    return _symbols(_codes(text))
+
+
+_ALNUM = np.array([chr(c).isalnum() for c in range(0x3100)])
+
+
+def _kept(codes: np.ndarray) -> np.ndarray:
+    """Where letters and digits are; beyond the marks of CJK all characters count as letters."""
+    return _ALNUM[np.minimum(codes, len(_ALNUM) - 1)] | (codes >= len(_ALNUM))
+
+
 def _extend(h: np.ndarray, codes: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
     for j in range(a, b):
         h = h * _MUL + codes[at + j] + _U(1)
@@ -61,7 +87,7 @@ def _extend(h: np.ndarray, codes: np.ndarray, at: np.ndarray, a: int, b: int) ->
 
 
 class Seeds:
-    """The seeds of a parcel of items (id, text), by length; and each item's symbols for the alignment."""
+    """The items (id, text) of a parcel, with their symbols for the alignment and both kinds of seeds."""
 
     def __init__(self, items: list[tuple], similarity: float):
         self.items = [(i, t) for i, t in items if t.split()]
@@ -70,11 +96,146 @@ class Seeds:
         self.verbatim = [w < LEAST_WORDS and len(c) < LEAST_CHARS for c, w in zip(self.codes, words)]
         self.most = np.array([edits(len(c), w, similarity) for c, w in zip(self.codes, words)], np.int64)
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
-        lengths = [seed_length(len(c), k, similarity) for c, k in zip(self.codes, self.most)]
-        self.lengths = sorted(set(lengths))
+        where = [np.flatnonzero(_kept(_codes(t))) for _, t in self.items]
+        folds = [len(w) >= max(LEAST_FOLDED, LEAST_SHARE * len(c)) for w, c in zip(where, self.codes)]
+        folded = [(x, c[w], w) for x, (c, w) in enumerate(zip(self.codes, where)) if folds[x]]
+        self.pairs = PairSeeds(folded, (False, True))
+        # with white space and marks an edit's neighbours are others: characters replaced at even distances
+        self.spaced = PairSeeds([(x, self.codes[x], np.arange(len(self.codes[x]))) for x, _, _ in folded], (True,))
+        self.plain = PlainSeeds([(x, c, seed_length(len(c), k, similarity)) for x, (c, k) in enumerate(zip(self.codes, self.most)) if not folds[x]])
+
+    @lru_cache(maxsize=4000)  # noqa: B019
+    def masks(self, x: int) -> np.ndarray:
+        """For each symbol and word of 64 bits, where the item has the symbol."""
+        c = self.codes[x]
+        out = np.zeros((256, (len(c) + 63) // 64), _U)
+        for i, s in enumerate(c):
+            out[s, i >> 6] |= _U(1 << (i & 63))
+        return out
+
+    def stretches(self, codes: np.ndarray, kept: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(number of the text, item, first and last place where the item seems to begin) of stretches of half an item.
+
+        Places are joined to stretches as they are found, so that neither a text nor an item that repeats itself, nor
+        a seed that very many items have, makes many pairs of places to hold."""
+        where = np.flatnonzero(kept)
+        seen = chain(((where[at], item, place) for at, item, place in self.pairs.found(codes[where])), self.spaced.found(codes))
+        parts = [self._joined(seen, begins, NEEDED), self._joined(self.plain.found(codes), begins, 1)]
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+
+    def _joined(self, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], begins: np.ndarray, needed: int):
+        held = tuple(np.zeros(0, np.int64) for _ in range(6))
+        for at, item, place in found:
+            start = at - place
+            step = start // np.maximum(self.sizes[item] // 2, 1)
+            order = np.lexsort((at, step, item))
+            at, item, step, start = at[order], item[order], step[order], start[order]
+            owner = np.searchsorted(begins, at, side="right") - 1
+            # seeds that overlap are one piece of evidence
+            apart = np.append(True, (at[1:] // 8 != at[:-1] // 8) | (step[1:] != step[:-1]) | (item[1:] != item[:-1]))[: len(at)].astype(np.int64)
+            held = _summed(*(np.concatenate(x) for x in zip(held, (owner, item, step, start, start, apart))))
+        owner, item, step, low, high, n = held
+        if needed > 1 and len(n):
+            # seeds of one passage may lie in two neighbouring stretches
+            after = (owner[1:] == owner[:-1]) & (item[1:] == item[:-1]) & (step[1:] == step[:-1] + 1)
+            both = np.where(after, n[1:] + n[:-1], 0)
+            total = np.maximum(n, np.maximum(np.append(both, 0), np.append(0, both)))
+            enough = total >= np.where(self.sizes[item] < LONG, needed - 1, needed)
+            owner, item, low, high = (x[enough] for x in (owner, item, low, high))
+        return owner, item, low, high
+
+
+def _summed(owner, item, step, low, high, n):
+    """One row for each (owner, item, step), in their order."""
+    order = np.lexsort((step, item, owner))
+    owner, item, step, low, high, n = (x[order] for x in (owner, item, step, low, high, n))
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (step[1:] != step[:-1]))[: len(owner)])
+    if not len(first):
+        return owner, item, step, low, high, n
+    return owner[first], item[first], step[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.add.reduceat(n, first)
+
+
+def _few_places(keys: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In order of the keys; of a key that an item has often, its first PLACES places."""
+    order = np.lexsort((place, item, keys))
+    keys, item, place = keys[order], item[order], place[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]))[: len(keys)]
+    first = np.flatnonzero(new)
+    few = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys)))) < PLACES
+    return keys[few], item[few], place[few]
+
+
+def _expanded(at: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (place, item, place in the item), about HELD of them at a time."""
+    times = high - low
+    total = np.cumsum(times)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HELD, side="right")))
+        t = times[a:b]
+        which = np.repeat(low[a:b], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        yield np.repeat(at[a:b], t), item[which], place[which]
+        a = b
+
+
+_LOW, _HIGH, _ODD = _U(0xFFFFFFFF), _U(0xFFFFFFFF << 32), _U(0x9E3779B97F4A7C15)
+
+
+def _eights(codes: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray((max(len(codes) - 7, 0),), "<u8", np.ascontiguousarray(codes), 0, (1,))
+
+
+def _gapped(eights: np.ndarray) -> np.ndarray:
+    """The same with one more character between the fourth and the fifth."""
+    return (eights[:-1] & _LOW) | (eights[1:] & _HIGH)
+
+
+class PairSeeds:
+    """Two runs of four characters, side by side or with a character between them, of items (number, symbols, where
+    these are in the item)."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], gaps: tuple[bool, ...]):
+        self.gaps = gaps
+        keys_of = lambda c: [_gapped(_eights(c)) if gap else _eights(c) for gap in gaps]
+        made = [(k, np.full(len(k), x), w[: len(k)]) for x, c, w in items for k in keys_of(c)]
+        keys, item, place = (np.concatenate([m[j] for m in made]) if made else np.zeros(0, t) for j, t in enumerate((_U, np.int64, np.int64)))
+        self.keys, self.item, self.place = _few_places(keys, item, place)
+        self.bits = min(26, max(16, int(16 * len(self.keys)).bit_length()))
+        self.cells = np.zeros(1 << self.bits, bool)
+        self.cells[self._cell(self.keys)] = True
+
+    def _cell(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _ODD) >> _U(64 - self.bits)).view(np.int64)
+
+    def found(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in ``codes``, items, places in the items) at which both have the same seed, with or without a gap on
+        either side."""
+        eights = _eights(codes)
+        if not len(self.keys):
+            return
+        for a in range(0, len(eights), HELD):
+            some, keys = [], []
+            for x in range(a, min(a + HELD, len(eights)), 1 << 15):
+                own = eights[x : x + (1 << 15) + 1].copy()
+                for key in (_gapped(own) if gap else own[: 1 << 15] for gap in self.gaps):
+                    at = np.flatnonzero(self.cells[self._cell(key)])
+                    some.append(at + x)
+                    keys.append(key[at])
+            at, key = np.concatenate(some), np.concatenate(keys)
+            low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+            has = high > low
+            yield from _expanded(at[has], low[has], high[has], self.item, self.place)
+
+
+class PlainSeeds:
+    """All runs of a length of items (number, symbols, length), for short items and those of other signs."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, int]]):
+        self.lengths = sorted({n for _, _, n in items})
         self.hits, self.prefixes = {}, {}
         made = {n: [] for n in self.lengths}
-        for x, (c, n) in enumerate(zip(self.codes, lengths)):
+        for x, c, n in items:
             starts = np.arange(len(c) - n + 1)
             h, done = np.zeros(len(starts), _U), 0
             for m in self.lengths:
@@ -84,9 +245,7 @@ class Seeds:
         for n, parts in made.items():
             self.prefixes[n] = np.unique(np.concatenate([p[0] for p in parts]))
             own = [p for p in parts if p[3]]
-            keys, item, place = (np.concatenate([p[k] for p in own]) for k in range(3))
-            order = np.argsort(keys, kind="stable")
-            self.hits[n] = keys[order], item[order], place[order]
+            self.hits[n] = _few_places(*(np.concatenate([p[k] for p in own]) for k in range(3)))
         self.first = np.zeros(1 << BITS, bool)
         if self.lengths:
             self.first[self._cell(self.prefixes[self.lengths[0]])] = True
@@ -97,6 +256,8 @@ class Seeds:
 
     def found(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places in ``codes``, items, places in the items) at which both have the same seed."""
+        if not self.lengths:
+            return
         n, alive, hashes = self.lengths[0], [], []
         for a in range(0, len(codes) - n + 1, 1 << 15):
             b = min(a + (1 << 15), len(codes) - n + 1)
@@ -120,18 +281,7 @@ class Seeds:
             at, h, key = at[some], h[some], key[some]
             keys, item, place = self.hits[n]
             low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            times = high - low
-            which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            yield np.repeat(at, times), item[which], place[which]
-
-    @lru_cache(maxsize=4000)  # noqa: B019
-    def masks(self, x: int) -> np.ndarray:
-        """For each symbol and word of 64 bits, where the item has the symbol."""
-        c = self.codes[x]
-        out = np.zeros((256, (len(c) + 63) // 64), _U)
-        for i, s in enumerate(c):
-            out[s, i >> 6] |= _U(1 << (i & 63))
-        return out
+            yield from _expanded(at, low, high, item, place)
 
 
 def piece_distances(seeds: Seeds, item: np.ndarray, piece: int, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -194,35 +344,18 @@ _LOWER = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **{chr(c
 
 def matches(seeds: Seeds, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """(number of the text, number of the item, start, end, distance) of the passages of a block of texts."""
-    codes = np.concatenate([np.append(symbols(t), np.uint8(0)) for t in texts])
+    raw = [_codes(t) for t in texts]
+    codes = np.concatenate([np.append(_symbols(c), np.uint8(0)) for c in raw])
+    kept = np.concatenate([np.append(_kept(c), True) for c in raw])
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    parts = list(seeds.found(codes))
-    if not parts:
-        return
-    at, item, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    owner = np.searchsorted(begins, at, side="right") - 1
-    start = at - place
-    # places of an item that begin within half of its length are one stretch
-    order = np.lexsort((start, item, owner))
-    owner, item, start = owner[order], item[order], start[order]
-    half = seeds.sizes[item] // 2
-    same = (owner[1:] == owner[:-1]) & (item[1:] == item[:-1]) & (start[1:] - start[:-1] <= seeds.most[item[1:]])
-    new = np.concatenate([[True], ~same]) if len(start) else np.zeros(0, bool)
-    run = np.flatnonzero(new)
-    # long runs are cut by how far a place is from the run's first
-    offset = start - np.repeat(start[run], np.diff(np.append(run, len(start))))
-    piece = offset // np.maximum(half, 1)
-    new[1:] |= piece[1:] != piece[:-1]
-    run = np.flatnonzero(new)
-    if not len(run):
+    owner, item, start, till = seeds.stretches(codes, kept, begins)
+    if not len(owner):
         return
-    till = start[np.append(run[1:], len(start)) - 1]
-    owner, item, start = owner[run], item[run], start[run]
     most = seeds.most[item]
     low = np.maximum(start - most, begins[owner])
     high = np.minimum(till + seeds.sizes[item] + most, begins[owner + 1] - 1)
     # the pieces' distances add up to no more than the item's
-    left, some, piece = most.copy(), np.arange(len(run)), 0
+    left, some, piece = most.copy(), np.arange(len(item)), 0
     passed = []
     while len(some):
         ends = np.minimum(seeds.sizes[item], 64 * (piece + 1))
@@ -251,11 +384,14 @@ def matches(seeds: Seeds, texts: list[str]) -> Iterator[tuple[int, int, int, int
         if distance <= most[k]:
             got.setdefault((doc, x), []).append((distance, a + s, a + e))
     for (doc, x), hits in got.items():
-        kept: list[tuple[int, int, int]] = []
-        for distance, s, e in sorted(set(hits)):
-            if all(e <= b or s >= c for _, b, c in kept):
-                kept.append((distance, s, e))
-        yield from ((doc, x, s, e, distance) for distance, s, e in kept)
+        begun: list[int] = []
+        ended: list[int] = []
+        for distance, a, b in sorted(set(hits)):
+            k = bisect_left(begun, b)  # those before k begin before the passage ends
+            if not k or ended[k - 1] <= a:
+                begun.insert(k, a)
+                ended.insert(k, b)
+                yield doc, x, a, b, distance
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -301,7 +437,7 @@ def _parcels(items: DataFrame, item_id: str, text: str, similarity: float) -> It
     for k in range(parcels):
         part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parcels)) == k).collect()
         seeds = Seeds([(r["item_id"], r["text"]) for r in part], similarity)
-        if seeds.lengths:
+        if seeds.items:
             yield items.sparkSession.sparkContext.broadcast(seeds)
 
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from larkspan.llm import decontaminate
 from tests.llm.conftest import prose
 
@@ -108,3 +111,59 @@ def test_repeats_nulls_and_clashing_names(spark):
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
+
+
+def replaced(n):
+    return lambda text: "".join("q" if i % n == n - 1 and c != "q" else c for i, c in enumerate(text))
+
+
+def left_out(n):
+    return lambda text: "".join(c for i, c in enumerate(text) if i % n != n - 1)
+
+
+EVEN = {
+    "no-break spaces": lambda t: t.replace(" ", " "), "underscores": lambda t: t.replace(" ", "_"), "no spaces": lambda t: t.replace(" ", ""), "two spaces": lambda t: t.replace(" ", "  "),
+    "line breaks": lambda t: t.replace(" ", " \n"), **{f"every {n} replaced": replaced(n) for n in (10, 8, 7, 6, 5)}, **{f"every {n} left out": left_out(n) for n in (10, 7, 5)},
+    "one a word": lambda t: " ".join(w[: len(w) // 2] + "q" + w[len(w) // 2 + 1 :] for w in t.split()), "words": lambda t: " ".join("other" if i % 6 == 5 else w for i, w in enumerate(t.split())),
+}
+
+
+@pytest.mark.parametrize("n_words", [12, 30])
+def test_recall_of_even_edits_against_brute_force(spark, n_words):
+    items = {k: prose(n_words, 64_000 + 100 * n_words + k) for k in range(40)}
+    rows, wanted, kinds = [], set(), list(EVEN)
+    for i, (kind, k) in enumerate((kind, k) for kind in kinds for k in items):
+        rows.append((i, f"{prose(40, 65_000 + i)} {EVEN[kind](items[k])} {prose(30, 67_000 + i)}"))
+        distance, _, _ = decontaminate.best_match(items[k].translate(decontaminate._LOWER), rows[-1][1].translate(decontaminate._LOWER))
+        if distance <= int(0.2 * len(items[k]) + 1e-9):
+            wanted.add((i, k))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs.repartition(4), bench).collect()}
+    assert found <= wanted
+    for n, kind in enumerate(kinds):
+        owed = {w for w in wanted if w[0] // 40 == n}
+        assert len(owed) > 10 and len(owed & found) >= 0.9 * len(owed), kind
+
+
+def test_texts_that_repeat_themselves_hold_few_places():
+    items = [(0, "ha " * 200), (1, "-" * 60 + " x"), (2, "the end of the day " * 12)]
+    seeds = decontaminate.Seeds(items, 0.8)
+    for x, text in enumerate(("ha " * 20_000, "-" * 20_000, "the end of the day " * 1000)):
+        codes, kept = decontaminate.symbols(text), decontaminate._kept(decontaminate._codes(text))
+        for found in (seeds.pairs.found(codes[np.flatnonzero(kept)]), seeds.spaced.found(codes), seeds.plain.found(codes)):
+            assert all(len(at) <= decontaminate.HELD + decontaminate.PLACES * len(items) for at, _, _ in found)
+        # stretches of half an item, however often both sides repeat themselves
+        owner, item, _, _ = seeds.stretches(codes, kept, np.array([0, len(text) + 1]))
+        assert set(item.tolist()) == {x} and len(owner) <= 2 + len(text) / (len(items[x][1]) // 2) + decontaminate.PLACES
+    text = "ha " * 3000
+    found = sorted((a, b) for _, _, a, b, _ in decontaminate.matches(seeds, [text]))
+    assert len(found) >= 12 and all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+
+
+def test_items_of_signs_and_of_other_scripts():
+    pick = random.Random(12)
+    signs = "".join(pick.choice("+-*/=<>|&%") for _ in range(90))
+    script = " ".join("".join(chr(0x400 + pick.randrange(256)) for _ in range(6)) for _ in range(20))
+    seeds = decontaminate.Seeds([(1, signs), (2, script)], 0.8)
+    text = f"{prose(20, 1)} {signs[:40]}x{signs[41:]} {prose(20, 2)} {script.replace(' ', '  ', 9)} {prose(9, 3)}"
+    assert sorted((x, d) for _, x, _, _, d in decontaminate.matches(seeds, [text])) == [(0, 1), (1, 9)]
