@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-# Fixed value: a telephone number with its separators.
+# An address of e-mail, in either case, and a telephone number with its separators.
+EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE = r"(?<!\d)(?:\+84|0)(?:[ .()-]*\d){9}(?!\d)"
 ZERO_WIDTH = "​‌‍﻿"
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref")
@@ -54,7 +54,7 @@ def redact_emails(text: Column) -> Column:
 
 def redact_contacts(text: Column) -> Column:
     """Addresses of e-mail and telephone numbers of ten digits, or of +84 and nine, replaced by what they are."""
-    return F.regexp_replace(F.regexp_replace(text, rf"(?i)\b{EMAIL}\b", "[redacted-email]"), PHONE, "[redacted-phone]")
+    return F.regexp_replace(F.regexp_replace(text, rf"(?i)\b{EMAIL.removeprefix('(?i)')}\b", "[redacted-email]"), PHONE, "[redacted-phone]")
 
 
 def host_of(url: Column) -> Column:

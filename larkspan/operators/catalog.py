@@ -19,7 +19,8 @@ def observation_outcomes(observations: DataFrame, keys: list[str], seen_at: str,
 
     created: the first of its key. stale: older than the newest so far. replayed or conflict: as new as the newest,
     with the same or another content. Newer ones are reactivated if the row was absent before, by ``absent`` of the
-    newest time so far; else unchanged or updated, against the content last applied. ``legacy`` names a hash of an
+    newest time so far, which gives the status that it had, null for active; old_status keeps it. Else they are
+    unchanged or updated, against the content last applied. ``legacy`` names a hash of an
     older version and the description: where the first is what was applied and the second hasn't changed, the content
     counts as the same."""
     arrival = Window.partitionBy(*keys).orderBy(*order)
@@ -32,8 +33,9 @@ def observation_outcomes(observations: DataFrame, keys: list[str], seen_at: str,
     if legacy:
         replay = replay | (F.col(legacy[0]) == F.col("_content"))
         same = same | ((F.col(legacy[0]) == F.col("_content")) & F.col(legacy[1]).eqNullSafe(F.col("_text")))
-    gone = absent(F.col("_newest")) if absent else F.lit(False)
-    return known.withColumn(
+    away = absent(F.col("_newest")) if absent else F.lit(None).cast("string")
+    gone = away.isNotNull()
+    told = known.withColumn(
         "outcome",
         F.when(F.col("_newest").isNull(), "created")
         .when(F.col(seen_at) < F.col("_newest"), "stale")
@@ -41,7 +43,8 @@ def observation_outcomes(observations: DataFrame, keys: list[str], seen_at: str,
         .when(gone, "reactivated")
         .when(same, "unchanged")
         .otherwise("updated"),
-    ).drop("_newest", "_content", "_n", "_text")
+    )
+    return told.withColumn("old_status", F.when(F.col("outcome") == "reactivated", away)).drop("_newest", "_content", "_n", "_text")
 
 
 #: The outcomes that a run counts, by counter.
@@ -55,10 +58,10 @@ def run_counters(outcomes: DataFrame, run: list[str]) -> DataFrame:
 
 
 def status_changes(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, order, field, old_value, new_value): a change of status for what was created or came back."""
-    old = F.when(F.col("outcome") == "reactivated", "missing")
+    """(keys, order, field, old_value, new_value): a change of status for what was created or came back, with the status
+    that it had."""
     rows = outcomes.where(F.col("outcome").isin("created", "reactivated"))
-    return rows.select(*keys, *order, F.lit("status").alias("field"), old.alias("old_value"), F.lit("active").alias("new_value"))
+    return rows.select(*keys, *order, F.lit("status").alias("field"), F.col("old_status").alias("old_value"), F.lit("active").alias("new_value"))
 
 
 def sightings(observations: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -19,11 +19,13 @@ def extraction_scores(found: Column, wanted: Column) -> list[Column]:
     ]
 
 
-def retrieval_scores(ranked: DataFrame, query: str, position: str, relevant: str, k: int = 5) -> DataFrame:
-    """One row: top-1, mean reciprocal rank and recall at k over ranked rows with a relevance flag."""
+def retrieval_scores(ranked: DataFrame, query: str, position: str, relevant: str, k: int = 5, total: str | None = None) -> DataFrame:
+    """One row: top-1, mean reciprocal rank and recall at k over ranked rows with a relevance flag.
+
+    Where the ranking was cut, ``total`` names the number of all relevant rows of the query; else those ranked count."""
     each = ranked.groupBy(query).agg(
         F.min(F.when(F.col(relevant), F.col(position))).alias("first"),
-        F.sum(F.when(F.col(relevant), 1).otherwise(0)).alias("n"),
+        (F.max(total) if total else F.sum(F.when(F.col(relevant), 1).otherwise(0))).alias("n"),
         F.sum(F.when(F.col(relevant) & (F.col(position) <= k), 1).otherwise(0)).alias("within"),
     )
     return each.agg(

@@ -41,13 +41,14 @@ def ordered(by: Iterable[str]) -> list[Column]:
 
 
 def page_with_totals(rows: DataFrame, by: Iterable[str], number: int, size: int) -> DataFrame:
-    """One page in a fixed order, each row with total_items and total_pages of the whole list."""
+    """One page in a fixed order, each row with total_items and total_pages of the whole list; where the page has no rows,
+    one row with these alone."""
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("page from 1, size from 1 to 100")
     totals = rows.agg(F.count(F.lit(1)).alias("total_items")).withColumn("total_pages", F.ceil(F.col("total_items") / size))
     shown = rows.orderBy(*ordered(by)).offset((number - 1) * size).limit(size)
-    # one row
-    return shown.crossJoin(F.broadcast(totals))
+    # one row on the left, a page on the right
+    return totals.join(F.broadcast(shown), F.lit(True), "left").select(*rows.columns, "total_items", "total_pages")
 
 
 def lookup(rows: DataFrame, key: str, value, owners: DataFrame, owner: str, approved: Column) -> DataFrame:

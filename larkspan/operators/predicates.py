@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.jobs import levels
+from larkspan.operators.health import TRANSIENT
 
-#: Error codes by what they mean for a source.
-TRANSIENT = ("network_error", "timeout", "server_error", "rate_limited")
-POLICY = ("access_denied", "payment_required", "route_blocked")
+#: Fetch errors that leave the route, and those of a source that can't be reached.
+ROUTE = ("invalid_url", "policy_blocked", "redirect_blocked", "too_many_redirects")
+UNAVAILABLE = ("dns_failure", "network_timeout", "tls_failure", "network_error", "server_error")
 
 
 def seniority(rows: DataFrame, selected: list[str], level_raw: str = "level_raw", title: str = "title") -> DataFrame:
@@ -50,14 +51,19 @@ def allows_trigger(quarantined: Column, trigger: Column) -> Column:
     return ~quarantined | trigger.isin("manual", "replay")
 
 
-def disposition(code: Column, status: Column, retry_after: Column) -> Column:
-    """struct(outcome, cooldown): what becomes of a source after a fetch error."""
+def disposition(code: Column, status: Column, retry_after: Column, default: int = 60, most: int = 3600) -> Column:
+    """struct(outcome, blocked, cooldown): what becomes of a source after a fetch error.
+
+    Statuses count for http_error alone. A rate limit cools down for the seconds that were asked for, ``default`` where
+    none were, between 1 and ``most``; a source that can't be reached is tried again; all else blocks it."""
+    http = lambda *said: (code == "http_error") & status.isin(*said)
     outcome = (
-        F.when(status.isin(401, 403), "access_denied").when(status == 402, "payment_required").when(status == 429, "cooldown")
-        .when((status >= 500) | code.isin("network_error", "timeout"), "unavailable").when(code.isin(*POLICY), "route_blocked").otherwise("layout_changed")
+        F.when(http(401, 403), "access_denied").when(http(402), "payment_required").when(code.isin(*ROUTE), "route_policy_blocked")
+        .when(code == "rate_limited", "rate_limited").when(code.isin(*UNAVAILABLE), "source_unavailable").otherwise("layout_unavailable")
     )
-    seconds = F.when(status == 429, F.least(F.greatest(F.coalesce(retry_after, F.lit(60)), F.lit(1)), F.lit(3600)))
-    return F.struct(outcome.alias("outcome"), seconds.alias("cooldown"))
+    asked = F.when(retry_after > 0, retry_after).otherwise(F.when(retry_after < 0, F.lit(1)).otherwise(F.lit(default)))
+    seconds = F.when(code == "rate_limited", F.least(asked, F.lit(most)))
+    return F.struct(outcome.alias("outcome"), F.coalesce(~outcome.isin("rate_limited", "source_unavailable"), F.lit(True)).alias("blocked"), seconds.alias("cooldown"))
 
 
 def retryable(code: Column, attempt: Column, most: int = 3) -> Column:

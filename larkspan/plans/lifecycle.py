@@ -19,7 +19,8 @@ o AS (SELECT *, CASE WHEN newest IS NULL THEN 'created' WHEN l_shipdate < newest
 
 def _outcomes(spark, d):
     observed = table(spark, d, "lineitem").withColumns({"content": F.concat("l_returnflag", "l_linestatus"), "old": F.col("l_returnflag")})
-    away = lambda newest: F.datediff("l_shipdate", newest) > 365
+    days = lambda newest: F.datediff("l_shipdate", newest)
+    away = lambda newest: F.when(days(newest) > 730, "removed").when(days(newest) > 365, "missing")
     return catalog.observation_outcomes(observed, ["l_partkey", "l_suppkey"], "l_shipdate", ["l_orderkey", "l_linenumber"], "content", away, ("old", "l_linestatus"))
 
 
@@ -36,7 +37,7 @@ def outcome_counters(spark, d):
 
 
 @query(f"""
-WITH {_OUTCOMES} SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, 'status' AS field, CASE WHEN outcome = 'reactivated' THEN 'missing' END AS old_value, 'active' AS new_value FROM o WHERE outcome IN ('created', 'reactivated')
+WITH {_OUTCOMES} SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, 'status' AS field, CASE WHEN outcome = 'reactivated' THEN CASE WHEN date_diff('day', CAST(newest AS DATE), CAST(l_shipdate AS DATE)) > 730 THEN 'removed' ELSE 'missing' END END AS old_value, 'active' AS new_value FROM o WHERE outcome IN ('created', 'reactivated')
 """)
 def status_changes(spark, d):
     return catalog.status_changes(_outcomes(spark, d), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
@@ -94,8 +95,9 @@ def semantic_component(spark, d):
 
 
 @query("""
-WITH v AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1)
-SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) AS linear, quantile_disc(l_extendedprice, 0.95) AS nearest, any_value(v[CAST(floor(0.95 * len(v)) AS BIGINT)]) AS floor, round(median(l_extendedprice), 6) AS median, max(l_extendedprice) AS most
+WITH s AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1),
+v AS (SELECT l_returnflag, v[CAST(greatest(floor(0.95 * len(v)), 1) AS BIGINT)] AS v FROM s)
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) AS linear, quantile_disc(l_extendedprice, 0.95) AS nearest, any_value(v) AS floor, round(median(l_extendedprice), 6) AS median, max(l_extendedprice) AS most
 FROM lineitem JOIN v USING (l_returnflag) GROUP BY 1
 """)
 def percentiles_by_rank(spark, d):

@@ -149,8 +149,9 @@ def semantic_topk(spark, d):
 
 @query(f"""
 WITH {_NEAREST},
-e AS (SELECT query_id, min(CASE WHEN wanted = label THEN position - 1 END) AS first, sum(CASE WHEN wanted = label THEN 1 ELSE 0 END) AS n,
-  sum(CASE WHEN wanted = label AND position <= 6 THEN 1 ELSE 0 END) AS within FROM n WHERE position BETWEEN 2 AND 21 GROUP BY query_id)
+a AS (SELECT query_id, sum(CASE WHEN wanted = label THEN 1 ELSE 0 END) AS n FROM s WHERE vec_id <> query_id GROUP BY query_id),
+e AS (SELECT query_id, min(CASE WHEN wanted = label THEN position - 1 END) AS first, any_value(a.n) AS n,
+  sum(CASE WHEN wanted = label AND position <= 6 THEN 1 ELSE 0 END) AS within FROM n JOIN a USING (query_id) WHERE position BETWEEN 2 AND 21 GROUP BY query_id)
 SELECT count(*) AS queries, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr,
   round(avg(CASE WHEN n = 0 THEN 0.0 ELSE within / n END), 6) AS recall FROM e
 """)
@@ -158,7 +159,10 @@ def retrieval_evaluation(spark, d):
     labels = table(spark, d, "embeddings").select("vec_id", "label")
     ranked = _nearest(spark, d, 21).where("position > 1").withColumn("position", F.col("position") - 1)
     judged = ranked.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
-    return evaluate.retrieval_scores(judged.withColumn("relevant", F.col("label") == F.col("wanted")), "query_id", "position", "relevant")
+    # a query is one of its own label's rows
+    totals = labels.groupBy(F.col("label").alias("wanted")).agg((F.count(F.lit(1)) - 1).alias("total"))
+    marked = judged.join(totals, "wanted").withColumn("relevant", F.col("label") == F.col("wanted"))
+    return evaluate.retrieval_scores(marked, "query_id", "position", "relevant", total="total")
 
 
 @query("""
@@ -306,11 +310,25 @@ def content_hash(spark, d):
 SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')) AS hash,
   regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS changed FROM documents
 """)
-def redact_contacts(spark, d):
+def redact_emails(spark, d):
     clean = text.redact_emails(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("hash"), (clean != F.col("text")).alias("changed"))
 
 
+_PHONE = r"(^|[^0-9])(?:\+84|0)(?:[ .()-]*[0-9]){9}([^0-9]|$)"
+
+
+# a number's neighbours are matched too, so that the second pass finds what shares one
+@query(rf"""
+WITH e AS (SELECT doc_id, text, regexp_replace(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '[redacted-email]', 'g') AS t FROM documents),
+p AS (SELECT doc_id, text, regexp_replace(regexp_replace(t, '{_PHONE}', '\1[redacted-phone]\2', 'g'), '{_PHONE}', '\1[redacted-phone]\2', 'g') AS t FROM e)
+SELECT doc_id, sha256(t) AS hash, t <> text AS changed FROM p
+""")
+def redact_contacts(spark, d):
+    clean = text.redact_contacts(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("hash"), (clean != F.col("text")).alias("changed"))
+
+
 @query(r"""
 WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
 p AS (SELECT page_id, lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)', 1) AS path,

@@ -20,9 +20,15 @@ def test_boundary(spark, url, wanted):
 
 
 def test_disposition_and_retry(spark):
-    d = lambda code, status, after=None: tuple(lit(spark, predicates.disposition(F.lit(code), F.lit(status), F.lit(after).cast("int"))))
-    assert [d("x", 403), d("x", 429, 9999), d("x", 429), d("x", 503), d("x", 200)] == [("access_denied", None), ("cooldown", 3600), ("cooldown", 60), ("unavailable", None), ("layout_changed", None)]
-    assert lit(spark, predicates.retryable(F.lit("timeout"), F.lit(2))) and not lit(spark, predicates.retryable(F.lit("rate_limited"), F.lit(1)))
+    d = lambda code, status=None, after=None: tuple(lit(spark, predicates.disposition(F.lit(code), F.lit(status).cast("int"), F.lit(after).cast("int"))))
+    assert [d("http_error", 403), d("http_error", 402), d("http_error", 404), d("server_error", 403)] == [("access_denied", True, None), ("payment_required", True, None), ("layout_unavailable", True, None), ("source_unavailable", False, None)]
+    assert [d("rate_limited", 429, n) for n in (9999, 5, -3, 0, None)] == [("rate_limited", False, n) for n in (3600, 5, 1, 60, 60)]
+    assert {d(c) for c in ("invalid_url", "policy_blocked", "redirect_blocked", "too_many_redirects")} == {("route_policy_blocked", True, None)}
+    assert {d(c) for c in ("dns_failure", "network_timeout", "tls_failure", "network_error", "server_error")} == {("source_unavailable", False, None)}
+    assert {d(c) for c in ("response_too_large", "unexpected_content")} == {("layout_unavailable", True, None)}
+    tried = {c: lit(spark, predicates.retryable(F.lit(c), F.lit(2))) for c in ("dns_failure", "network_error", "network_timeout", "server_error", "rate_limited", "tls_failure", "http_error")}
+    assert [c for c, again in tried.items() if again] == ["dns_failure", "network_error", "network_timeout", "server_error"]
+    assert not lit(spark, predicates.retryable(F.lit("server_error"), F.lit(3)))
 
 
 def test_seniority_and_queue(spark):

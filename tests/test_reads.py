@@ -14,7 +14,10 @@ def test_pages_have_totals_and_nulls_last(spark):
     first = listing.page_with_totals(rows, ["-price", "id"], 1, 10).collect()
     assert [r["id"] for r in first][:5] == [3, 7, 11, 19, 2] and {(r["total_items"], r["total_pages"]) for r in first} == {(23, 3)}
     assert [r["price"] for r in listing.page_with_totals(rows, ["-price", "id"], 3, 10).collect()] == [None] * 3
-    assert listing.page_with_totals(rows, ["id"], 9, 10).count() == 0
+    beyond = listing.page_with_totals(rows, ["id"], 9, 10).collect()
+    assert [(r["id"], r["total_items"], r["total_pages"]) for r in beyond] == [(None, first[0]["total_items"], first[0]["total_pages"])]
+    empty = listing.page_with_totals(rows.limit(0), ["id"], 1, 10).collect()
+    assert [(r["id"], r["total_items"], r["total_pages"]) for r in empty] == [(None, 0, 0)]
     for number, size in ((0, 10), (1, 0), (1, 101)):
         with pytest.raises(ValueError):
             listing.page_with_totals(rows, ["id"], number, size)
@@ -68,7 +71,7 @@ def test_percentiles_by_rank_against_sorted_lists(spark):
 def test_outcomes_with_reactivation_and_older_hashes(spark):
     rows = [(1, 1, "h1", "old1", "d"), (2, 2, "h1", "old1", "d"), (3, 30, "h2", "old2", "d"), (4, 30, "h3", "h2", "d"), (5, 31, "h4", "h2", "d"), (6, 5, "h9", "", "d"), (7, 32, "h5", "h4", "e"), (8, 32, "h6", "", "e")]
     observed = spark.createDataFrame([(1, *r) for r in rows], "k long, n long, at long, hash string, v1 string, text string")
-    done = catalog.observation_outcomes(observed, ["k"], "at", ["n"], "hash", lambda newest: F.col("at") - newest > 20, ("v1", "text"))
+    done = catalog.observation_outcomes(observed, ["k"], "at", ["n"], "hash", lambda newest: F.when(F.col("at") - newest > 20, "missing"), ("v1", "text"))
     assert [r["outcome"] for r in done.orderBy("n").collect()] == ["created", "unchanged", "reactivated", "replayed", "unchanged", "stale", "updated", "conflict"]
     counters = catalog.run_counters(done, ["k"]).first()
     assert (counters["considered"], counters["items_new"], counters["items_reactivated"], counters["items_failed"]) == (8, 1, 1, 1)
