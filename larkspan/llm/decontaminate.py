@@ -33,10 +33,10 @@ LEAST_WORDS, LEAST_CHARS = 5, 25
 KEPT = 2.8
 MOST_SEED = 16
 #: Items with fewer letters and digits than this, or with fewer than the share, are looked for by plain seeds instead.
-LEAST_FOLDED, LEAST_SHARE = 60, 0.7
-#: Seeds in so many places an item must have in two neighbouring stretches, shorter items than LONG one less; and how
-#: many places of one seed in an item count.
-NEEDED, LONG, PLACES = 3, 150, 4
+LEAST_FOLDED, LEAST_SHARE = 32, 0.7
+#: Seeds in so many places an item must have in two neighbouring stretches, fewer if it has fewer than as many times
+#: EACH characters; and how many places of one seed in an item count.
+NEEDED, EACH, PLACES = 6, 30, 4
 #: Pairs of places that are held at once.
 HELD = 1 << 20
 #: Characters of items that are looked for at once; more items take more passes over the documents.
@@ -99,9 +99,9 @@ class Seeds:
         where = [np.flatnonzero(_kept(_codes(t))) for _, t in self.items]
         folds = [len(w) >= max(LEAST_FOLDED, LEAST_SHARE * len(c)) for w, c in zip(where, self.codes)]
         folded = [(x, c[w], w) for x, (c, w) in enumerate(zip(self.codes, where)) if folds[x]]
-        self.pairs = PairSeeds(folded, (False, True))
+        self.pairs = PairSeeds(folded, (False, True), (False, True))
         # with white space and marks an edit's neighbours are others: characters replaced at even distances
-        self.spaced = PairSeeds([(x, self.codes[x], np.arange(len(self.codes[x]))) for x, _, _ in folded], (True,))
+        self.spaced = PairSeeds([(x, self.codes[x], np.arange(len(self.codes[x]))) for x, _, _ in folded], (True,), (False, True))
         self.plain = PlainSeeds([(x, c, seed_length(len(c), k, similarity)) for x, (c, k) in enumerate(zip(self.codes, self.most)) if not folds[x]])
 
     @lru_cache(maxsize=4000)  # noqa: B019
@@ -140,7 +140,7 @@ class Seeds:
             after = (owner[1:] == owner[:-1]) & (item[1:] == item[:-1]) & (step[1:] == step[:-1] + 1)
             both = np.where(after, n[1:] + n[:-1], 0)
             total = np.maximum(n, np.maximum(np.append(both, 0), np.append(0, both)))
-            enough = total >= np.where(self.sizes[item] < LONG, needed - 1, needed)
+            enough = total >= np.minimum(needed, self.sizes[item] // EACH)
             owner, item, low, high = (x[enough] for x in (owner, item, low, high))
         return owner, item, low, high
 
@@ -193,10 +193,10 @@ def _gapped(eights: np.ndarray) -> np.ndarray:
 
 class PairSeeds:
     """Two runs of four characters, side by side or with a character between them, of items (number, symbols, where
-    these are in the item)."""
+    these are in the item): with the ``gaps`` in items, and those ``asked`` for in texts."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], gaps: tuple[bool, ...]):
-        self.gaps = gaps
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], gaps: tuple[bool, ...], asked: tuple[bool, ...]):
+        self.asked = asked
         keys_of = lambda c: [_gapped(_eights(c)) if gap else _eights(c) for gap in gaps]
         made = [(k, np.full(len(k), x), w[: len(k)]) for x, c, w in items for k in keys_of(c)]
         keys, item, place = (np.concatenate([m[j] for m in made]) if made else np.zeros(0, t) for j, t in enumerate((_U, np.int64, np.int64)))
@@ -218,7 +218,7 @@ class PairSeeds:
             some, keys = [], []
             for x in range(a, min(a + HELD, len(eights)), 1 << 15):
                 own = eights[x : x + (1 << 15) + 1].copy()
-                for key in (_gapped(own) if gap else own[: 1 << 15] for gap in self.gaps):
+                for key in (_gapped(own) if gap else own[: 1 << 15] for gap in self.asked):
                     at = np.flatnonzero(self.cells[self._cell(key)])
                     some.append(at + x)
                     keys.append(key[at])
