@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspan.operators import ledger
+from larkspan.operators import ledger, upserts
 from larkspan.plans.queries import query
 from larkspan.sources.shared import shared_path
 from larkspan.sources.tables import table
@@ -91,3 +92,57 @@ def bulk_rewrite(spark, d):
         {"p_type": F.lit("invalidated"), "p_size": F.coalesce(F.when(F.col("p_size") != 26, F.col("p_size")), F.lit(0))},
     )
     return target.read().select("p_partkey", "p_name", "p_type", "p_size")
+
+
+_CONTENT = ["title"]
+
+
+@query("""
+WITH o AS (SELECT l_suppkey AS source, l_partkey AS ext, l_shipdate AS seen, l_orderkey, l_linenumber, l_returnflag || l_linestatus AS title,
+  row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS copies FROM lineitem),
+b AS (SELECT *, max(seen) OVER w AS newest, arg_max(title, {'a': seen, 'b': -n}) OVER w AS applied FROM o WHERE copies = 1 WINDOW w AS (PARTITION BY source, ext ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT *, CASE WHEN newest IS NULL THEN 'created' WHEN seen < newest THEN 'stale' WHEN seen = newest THEN CASE WHEN title = applied THEN 'replayed' ELSE 'observation_conflict' END WHEN title = applied THEN 'unchanged' ELSE 'updated' END AS outcome FROM b)
+SELECT source AS source_id, CAST(ext AS VARCHAR) AS external_id, arg_max(title, {'a': seen, 'b': -n}) AS title, arg_min(seen, n) AS first_seen, max(seen) AS last_seen, 'active' AS status, 0 AS missed FROM j GROUP BY source, ext
+""")
+def upserted_jobs(spark, d):
+    """Suppliers as sources, their parts as jobs, order lines as observations, written by three runs one after another."""
+    lines = table(spark, d, "lineitem")
+    # a line is an observation of its own place
+    alone = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies")).where("copies = 1")
+    seen = lines.join(alone, ["l_orderkey", "l_linenumber"], "left_semi").select(
+        F.col("l_suppkey").cast("long").alias("source_id"), F.col("l_partkey").cast("string").alias("external_id"), F.concat(F.lit("/"), "l_partkey").alias("canonical_url"),
+        F.col("l_shipdate").cast("timestamp").alias("seen_at"), F.concat("l_returnflag", "l_linestatus").alias("title"), "l_orderkey", "l_linenumber",
+    )
+    schema = spark.createDataFrame([], f"{upserts.STATE}, title string").schema
+    target = VersionedTable.create(spark, shared_path(spark, "jobs"), schema, ["job_id"], buckets=8)
+    last = seen.agg(F.max("l_orderkey")).first()[0] or 0
+    for number in range(3):
+        part = F.col("l_orderkey").between(last * number // 3 + (number > 0), last * (number + 1) // 3)
+        upserts.apply_run(target, seen.where(part), ["l_orderkey", "l_linenumber"], _CONTENT, transaction=("runs", number))
+    return target.read().select("source_id", "external_id", "title", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "status", "missed")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_orderstatus, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS retry_of FROM orders WHERE o_custkey % 2 = 0),
+up AS (SELECT o_orderkey AS k, o_orderkey AS top, 0 AS d FROM o UNION ALL SELECT up.k, o.retry_of, d + 1 FROM up JOIN o ON o.o_orderkey = up.top WHERE o.retry_of IS NOT NULL)
+SELECT top AS o_orderkey, CAST(max(d) AS INTEGER) AS level FROM up GROUP BY top
+""")
+def purge_order(spark, d):
+    """Orders of half of the customers as runs, each a retry of the one before of its customer and priority."""
+    before = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    orders = table(spark, d, "orders").where("o_custkey % 2 = 0").withColumn("retry_of", F.lag("o_orderkey").over(before))
+    gone, _ = upserts.purge_chains(orders, "o_orderkey", "retry_of", F.lit(True), F.lit(False))
+    return gone.select("o_orderkey", F.col("level").cast("int").alias("level"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM p))
+
+SELECT 'parent' AS "table", count(*) AS rows FROM p UNION ALL SELECT 'orders', count(*) FROM o
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) OR l_suppkey IN (SELECT c_custkey FROM p)
+""")
+def purge_cascade(spark, d):
+    """Rows that go with the customers of a segment: their orders, and lines by either of two references."""
+    parents = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    children = [("orders", table(spark, d, "orders"), [("o_custkey", "parent")], "o_orderkey"), ("lineitem", table(spark, d, "lineitem"), [("l_orderkey", "orders"), ("l_suppkey", "parent")], None)]
+    return upserts.cascade(parents, "c_custkey", children)[1]
