@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,11 @@ def overlap_component(mine: Column, theirs: Column) -> Column:
     return F.when(said, F.when(F.arrays_overlap(mine, theirs), F.lit(1)).otherwise(F.lit(0)).cast("decimal(5,4)"))
 
 
-def overall(components: dict[str, Column]) -> tuple[Column, Column]:
-    """(score, coverage): a missing component adds nothing to either."""
-    weight = lambda k: F.lit(WEIGHTS[k]).cast("decimal(3,2)")
+def overall(components: dict[str, Column], weights: dict[str, str] = WEIGHTS) -> tuple[Column, Column]:
+    """(score, coverage): a missing component adds nothing to either. Weights are decimals as text, which add up to 1."""
+    if sum(map(Decimal, weights.values())) != 1:
+        raise ValueError("the weights don't add up to 1")
+    weight = lambda k: F.lit(weights[k]).cast("decimal(3,2)")
     score = sum((F.coalesce(c, F.lit(0).cast("decimal(5,4)")) * weight(k) for k, c in components.items()), F.lit(0).cast("decimal(5,4)"))
     coverage = sum((F.when(c.isNotNull(), weight(k)).otherwise(F.lit(0).cast("decimal(3,2)")) for k, c in components.items()), F.lit(0).cast("decimal(3,2)"))
     return score4(score), score4(coverage)

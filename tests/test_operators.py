@@ -85,6 +85,10 @@ def test_match_components(spark):
     assert [experience(2, 3), experience(9, 3), experience(0, 0), experience(None, 3)] == [Decimal("0.6667"), 1, 1, None]
     score, coverage = match.overall({"skill": F.lit("0.5").cast("decimal(5,4)"), "role": F.lit(None).cast("decimal(5,4)")})
     assert tuple(spark.range(1).select(score, coverage).first()) == (Decimal("0.2000"), Decimal("0.4000"))
+    score, coverage = match.overall({"skill": F.lit("0.5").cast("decimal(5,4)")}, {"skill": "0.70", "semantic": "0.30"})
+    assert tuple(spark.range(1).select(score, coverage).first()) == (Decimal("0.3500"), Decimal("0.7000"))
+    with pytest.raises(ValueError, match="add up"):
+        match.overall({}, {"skill": "0.70"})
 
 
 def test_claims(spark):
