@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from larkspan.llm import components, jaccard
 from tests.llm.conftest import prose
 
@@ -78,6 +80,16 @@ def test_hot_tokens_travel_apart_with_the_same_links(spark, documents, corpus):
     assert found(frame) == wanted
 
 
+def test_any_list_of_hot_tokens_gives_the_same_links(documents, corpus, monkeypatch):
+    """Half of all tokens with classes drawn by lot, so that the estimate is wrong as can be."""
+    tokens = np.unique(np.concatenate(list(jaccard.shingle_sets([t or "" for t in corpus.values()]))) >> np.uint64(64 - 8 * jaccard.TOKEN))
+    drawn = np.random.default_rng(3)
+    known = tokens[drawn.random(len(tokens)) < 0.5]
+    classes = drawn.integers(0, 100, len(known)).astype(np.uint8)
+    monkeypatch.setattr(jaccard, "hot_tokens", lambda texts, least: (known, classes))
+    assert found(documents) == brute(corpus)
+
+
 def test_ids_that_repeat_or_are_null(spark):
     a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
     rows = [(1, a), (5, a), (5, b), (None, a + " end"), (None, c), (None, None), (7, ""), (8, None)]
