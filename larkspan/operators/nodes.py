@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import reduce
 from html.parser import HTMLParser
@@ -24,19 +25,22 @@ class _TooComplex(Exception):
 class _Tree(HTMLParser):
     """Elements in document order. An end tag closes its nearest open element and all inside; one without is ignored."""
 
-    def __init__(self) -> None:
+    def __init__(self, bounded: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.bounded = bounded
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.tags: Counter[str] = Counter()  # of the open elements
 
     def handle_starttag(self, tag, attrs):
-        if len(self.rows) >= MOST_NODES or len(self.open) >= MOST_DEPTH:
+        if self.bounded and (len(self.rows) >= MOST_NODES or len(self.open) >= MOST_DEPTH):
             raise _TooComplex
         node, given = len(self.rows), {k.casefold(): v or "" for k, v in attrs}
         classes = sorted(set(given.get("class", "").casefold().split()))
         self.rows.append([node, self.open[-1] if self.open else None, node, len(self.open), tag.casefold(), classes, given, []])
         if tag.casefold() not in VOID:
             self.open.append(node)
+            self.tags[tag.casefold()] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -44,13 +48,14 @@ class _Tree(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.rows[self.open[i]][4] == tag.casefold()), None)
-        if at is not None:
-            self._close(at)
+        # looked for only where there is one, so that all that is passed is closed
+        if self.tags[tag.casefold()]:
+            self._close(next(i for i in range(len(self.open) - 1, -1, -1) if self.rows[self.open[i]][4] == tag.casefold()))
 
     def _close(self, at: int) -> None:
         for node in self.open[at:]:
             self.rows[node][2] = len(self.rows) - 1
+            self.tags[self.rows[node][4]] -= 1
         del self.open[at:]
 
     def handle_data(self, data):
@@ -58,9 +63,9 @@ class _Tree(HTMLParser):
             self.rows[self.open[-1]][7].append(data)
 
 
-def tree(page: str) -> tuple[list[list], str | None]:
+def tree(page: str, bounded: bool = True) -> tuple[list[list], str | None]:
     """The elements of a page as rows (node, parent, last, depth, tag, classes, attrs, parts), or what is wrong with it."""
-    parser = _Tree()
+    parser = _Tree(bounded)
     try:
         parser.feed(page)
         parser.close()
@@ -72,22 +77,23 @@ def tree(page: str) -> tuple[list[list], str | None]:
     return parser.rows, None
 
 
-def page_nodes(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
+def page_nodes(pages: DataFrame, doc_id: str = "doc_id", html: str = "html", bounded: bool = True) -> DataFrame:
     """Rows of SCHEMA for all elements of all pages, in one pass without a shuffle.
 
     Elements are numbered from 0 in document order, so that the descendants of one are those from ``node`` + 1 to
     ``last``. ``parts`` are the texts that lie directly in it. A page of more than MOST_NODES elements or deeper than
-    MOST_DEPTH, or one that can't be read, gives a single row with its error; a null or empty page gives none."""
+    MOST_DEPTH, or one that can't be read, gives a single row with its error; a null or empty page gives none. Where it
+    isn't ``bounded``, no page is too large or too deep."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[list] = []
             for key, page in zip(batch["doc_id"], batch["html"]):
-                found, error = tree(page or "")
+                found, error = tree(page or "", bounded)
                 rows += [[key, *r, None] for r in found] if error is None else [[key, *[None] * 8, error]]
-                if len(rows) >= MOST_NODES:
-                    yield _frame(rows)
-                    rows = []
+                while len(rows) >= MOST_NODES:
+                    yield _frame(rows[:MOST_NODES])
+                    rows = rows[MOST_NODES:]
             yield _frame(rows)
 
     return pages.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{html}`").alias("html")).mapInPandas(parse, SCHEMA)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import text
 from larkspan.operators import candidates, nodes
+from larkspan.plans import pages as plans
 
 BASE = "https://jobs.example.com/list"
 DOCS = "doc_id long, payload string, content_type string, base_url string"
@@ -120,3 +121,22 @@ def test_structured_text_of_a_page(spark):
     page = "<title>T</title><h1>Head</h1><p>one<br>two</p><ul><li>a<li>b</ul><div class='job related'>gone<p>too</p></div><form>no</form><p id=share>no</p><img>end<style>x</style>"
     got = spark.createDataFrame([(page,)], "h string").select(text.html_to_text(F.col("h"))).first()[0]
     assert re.sub(r"\n+", "|", got) == "T|### Head|one|two|- a|- b|end"
+
+
+# as deep as pages get whose paragraphs aren't closed
+DEEP = '<ul><li><a href="/one">One</a></li></ul>' + "<p><b>text<br>" * 300 + '<i></i></u></b></p><ul><li><a href="/two">Two</a></li></ul>'
+
+
+def deep_pages(spark, path):
+    spark.createDataFrame([(1, "http://Deep.example.com/a", DEEP), (2, "http://flat.example.com/", '<ul><li><a href="/x">X</a></li></ul>')], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+def test_the_query_of_nodes_counts_deep_pages_too(spark, tmp_path):
+    found = {(r["page_id"], r["tag"]): r["n"] for r in plans.page_nodes(spark, deep_pages(spark, tmp_path)).collect()}
+    assert found == {(1, "ul"): 2, (1, "li"): 2, (1, "a"): 2, (1, "p"): 300, (1, "b"): 300, (1, "br"): 300, (1, "i"): 1, (2, "ul"): 1, (2, "li"): 1, (2, "a"): 1}
+
+
+def test_pages_without_bounds_and_ends_without_a_start():
+    rows, error = nodes.tree("<p>" * 60_000 + "</b>" * 60_000 + "</p>", bounded=False)
+    assert error is None and len(rows) == 60_000 and rows[0][2] == rows[-1][2] == 59_999 and rows[-1][3] == 59_999
