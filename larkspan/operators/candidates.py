@@ -286,13 +286,14 @@ def parse_documents(docs: DataFrame, mapping: Mapping | None = None) -> DataFram
     return parse_all(docs, mapping).where("error IS NULL").drop("error")
 
 
-def pagination_targets(pages: DataFrame, mapping: Mapping | None = None, most: int = 5) -> DataFrame:
+def pagination_targets(pages: DataFrame, mapping: Mapping | None = None, most: int = 5, bounded: bool = True) -> DataFrame:
     """Rows (doc_id, targets, error) of pages (doc_id, html, base_url): where their next or load-more controls lead.
 
     Controls are nodes with rel next, a class or a label for it, or those that fit the mapping's ``control``. The first
     ``most`` distinct usable targets count, in order. A control without a target that isn't disabled and comes before
-    the last of these is an unsupported_interaction, as is a page that can't be parsed an error of its own."""
-    elements = stored(tree.page_nodes(pages), "nodes")
+    the last of these is an unsupported_interaction, as is a page that can't be parsed an error of its own. Where it isn't
+    ``bounded``, no page is too complex."""
+    elements = stored(tree.page_nodes(pages, bounded=bounded), "nodes")
     tokens = F.split(F.lower(F.coalesce(tree.attr("rel"), F.lit(""))), r"\s+")
     semantic = F.array_contains(tokens, "next") | tree.has_class("next", "pagination-next", "load-more") | F.lower(tree.attr("aria-label")).isin("next", "load more")
     control = F.coalesce(semantic, F.lit(False)) | tree.signature((mapping or {}).get("control"))
@@ -306,7 +307,7 @@ def pagination_targets(pages: DataFrame, mapping: Mapping | None = None, most: i
     bases = pages.select(F.col("doc_id").cast("long").alias("doc_id"), "base_url")
     controls = elements.where("error IS NULL").where(control).withColumn("said", said).where(F.col("said").isNotNull() | ~disabled)
     led = controls.join(bases, "doc_id").withColumn("target", F.when(F.col("said").isNotNull(), resolved("said", "base_url"))).select("doc_id", "node", "said", "target")
-    # the first place of each target, then the first targets: rows of one page, MOST_NODES at most
+    # the first place of each target, then the first targets, of which a window keeps ``most``
     usable = led.where("target IS NOT NULL").groupBy("doc_id", "target").agg(F.min("node").alias("node"))
     ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("node"))).where(F.col("rank") <= most)
     targets = ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "target"))), lambda t: t["target"]).alias("targets"), F.max(F.when(F.col("rank") == most, F.col("node"))).alias("full"))

@@ -140,3 +140,8 @@ def test_the_query_of_nodes_counts_deep_pages_too(spark, tmp_path):
 def test_pages_without_bounds_and_ends_without_a_start():
     rows, error = nodes.tree("<p>" * 60_000 + "</b>" * 60_000 + "</p>", bounded=False)
     assert error is None and len(rows) == 60_000 and rows[0][2] == rows[-1][2] == 59_999 and rows[-1][3] == 59_999
+
+
+def test_the_query_of_targets_has_deep_pages_too(spark, tmp_path):
+    found = {r["page_id"]: r["targets"] for r in plans.page_targets(spark, deep_pages(spark, tmp_path)).collect()}
+    assert found == {1: "https://deep.example.com/one https://deep.example.com/two", 2: "https://flat.example.com/x"}
