@@ -245,22 +245,23 @@ def _from_scripts(page_nodes: DataFrame, bases: DataFrame) -> DataFrame:
     return scripts.join(bases, "doc_id").mapInPandas(parse, PARSED)
 
 
-def parse_all(docs: DataFrame, mapping: Mapping | None = None) -> DataFrame:
+def parse_all(docs: DataFrame, mapping: Mapping | None = None, bounded: bool = True) -> DataFrame:
     """Rows of PARSED: the candidates of documents (doc_id, payload, content_type, base_url), each id once; and one row
     with an error for each document that is refused.
 
     Refused are documents that are too large, that ask for proof of a human reader, of another type, with CSV that
     isn't strict or too large, or HTML that is too complex. Of HTML the first JSON-LD script with candidates goes
     before job cards, these before the cards of the ``mapping``. A record that can't be read is left out, whatever is in
-    it, and the others stay. Null payloads count as empty."""
+    it, and the others stay. Null payloads count as empty. Where it isn't ``bounded``, no document is too large, no page
+    too complex, and none counts as asking for proof."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("payload", F.lit("")).alias("payload"), _mime().alias("mime"), "base_url")
-    code = F.when(F.octet_length("payload") > MOST_BYTES, "preview_document_too_large").when(challenged(F.col("payload")), "challenge_detected")
+    code = F.when(F.lit(bounded) & (F.octet_length("payload") > MOST_BYTES), "preview_document_too_large").when(F.lit(bounded) & challenged(F.col("payload")), "challenge_detected")
     code = code.when(F.coalesce(~F.col("mime").isin(*JSON_TYPES, *HTML_TYPES, "text/csv"), F.lit(True)), "preview_content_type_unsupported")
     judged = held.withColumn("refused", code)
     open_docs = judged.where("refused IS NULL")
     of = lambda *types: open_docs.where(F.col("mime").isin(*types))
     pages, bases = of(*HTML_TYPES), of(*HTML_TYPES).select("doc_id", "base_url")
-    elements = stored(tree.page_nodes(pages, html="payload"), "nodes")
+    elements = stored(tree.page_nodes(pages, html="payload", bounded=bounded), "nodes")
     found = [stored(_from_scripts(elements, bases), "scripts")]
     makers = [("page_field", "html.card", _semantic_cards)]
     if mapping:
@@ -281,9 +282,9 @@ def parse_all(docs: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     return out
 
 
-def parse_documents(docs: DataFrame, mapping: Mapping | None = None) -> DataFrame:
+def parse_documents(docs: DataFrame, mapping: Mapping | None = None, bounded: bool = True) -> DataFrame:
     """Rows of SCHEMA, one for each candidate; refused documents give none, as :func:`parse_all` tells."""
-    return parse_all(docs, mapping).where("error IS NULL").drop("error")
+    return parse_all(docs, mapping, bounded).where("error IS NULL").drop("error")
 
 
 def pagination_targets(pages: DataFrame, mapping: Mapping | None = None, most: int = 5, bounded: bool = True) -> DataFrame:

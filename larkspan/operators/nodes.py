@@ -130,9 +130,9 @@ def first_inside(nodes: DataFrame, card: Column, fields: Mapping[str, Column]) -
     """The nodes that fit ``card``, with the number of the first descendant that fits each field; null if none does.
 
     The next node that fits, in document order, is a descendant if it isn't past the card's last one: one window over
-    each page's nodes, of which there are MOST_NODES at most, and no pairs of nodes."""
-    ahead = Window.partitionBy("doc_id").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
-    following = {name: F.first(F.when(fits, F.col("node")), ignorenulls=True).over(ahead) for name, fits in fields.items()}
+    each page's nodes, from its end, so that each node is added to the frame once, and no pairs of nodes."""
+    ahead = Window.partitionBy("doc_id").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
+    following = {name: F.last(F.when(fits, F.col("node")), ignorenulls=True).over(ahead) for name, fits in fields.items()}
     found = nodes.where("error IS NULL").withColumns({f"_{n}": c for n, c in following.items()}).where(card)
     return found.select(*nodes.columns, *[F.when(F.col(f"_{n}") <= F.col("last"), F.col(f"_{n}")).alias(n) for n in fields])
 
@@ -140,8 +140,8 @@ def first_inside(nodes: DataFrame, card: Column, fields: Mapping[str, Column]) -
 def inner_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (doc_id, node, text) for ``wanted`` (doc_id, node): all texts inside, white space collapsed.
 
-    An element has at most MOST_DEPTH ancestors, so that all wanted intervals together hold at most so many times the
-    page's nodes. A node's own texts come before those of its children, as they are kept by element."""
+    A node is in as many wanted intervals as it has wanted ancestors, MOST_DEPTH at most in bounded pages, and its text is
+    in as many texts. A node's own texts come before those of its children, as they are kept by element."""
     spans = wanted.distinct().join(nodes.select("doc_id", "node", "last"), ["doc_id", "node"])
     inside = spans.select("doc_id", F.col("node").alias("_top"), F.explode(F.sequence("node", "last")).alias("node"))
     said = inside.join(nodes.where(F.size("parts") > 0).select("doc_id", "node", F.array_join("parts", " ").alias("said")), ["doc_id", "node"], "left")

@@ -145,3 +145,10 @@ def test_pages_without_bounds_and_ends_without_a_start():
 def test_the_query_of_targets_has_deep_pages_too(spark, tmp_path):
     found = {r["page_id"]: r["targets"] for r in plans.page_targets(spark, deep_pages(spark, tmp_path)).collect()}
     assert found == {1: "https://deep.example.com/one https://deep.example.com/two", 2: "https://flat.example.com/x"}
+
+
+def test_the_query_of_cards_has_deep_pages_too(spark, tmp_path):
+    found = plans.page_cards(spark, deep_pages(spark, tmp_path)).orderBy("page_id", "n").collect()
+    assert [(r["page_id"], r["n"], r["title"], r["url"]) for r in found] == [
+        (1, 1, "One", "https://deep.example.com/one"), (1, 2, "Two", "https://deep.example.com/two"), (2, 1, "X", "https://flat.example.com/x"),
+    ]
