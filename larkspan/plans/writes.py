@@ -107,18 +107,19 @@ SELECT source AS source_id, CAST(ext AS VARCHAR) AS external_id, arg_max(title,
 def upserted_jobs(spark, d):
     """Suppliers as sources, their parts as jobs, order lines as observations, written by three runs one after another."""
     lines = table(spark, d, "lineitem")
-    # a line is an observation of its own place
-    alone = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies")).where("copies = 1")
-    seen = lines.join(alone, ["l_orderkey", "l_linenumber"], "left_semi").select(
-        F.col("l_suppkey").cast("long").alias("source_id"), F.col("l_partkey").cast("string").alias("external_id"), F.concat(F.lit("/"), "l_partkey").alias("canonical_url"),
-        F.col("l_shipdate").cast("timestamp").alias("seen_at"), F.concat("l_returnflag", "l_linestatus").alias("title"), "l_orderkey", "l_linenumber",
-    )
     schema = spark.createDataFrame([], f"{upserts.STATE}, title string").schema
     target = VersionedTable.create(spark, shared_path(spark, "jobs"), schema, ["job_id"], buckets=8)
-    last = seen.agg(F.max("l_orderkey")).first()[0] or 0
-    for number in range(3):
-        part = F.col("l_orderkey").between(last * number // 3 + (number > 0), last * (number + 1) // 3)
-        upserts.apply_run(target, seen.where(part), ["l_orderkey", "l_linenumber"], _CONTENT, transaction=("runs", number))
+    last = lines.agg(F.max("l_orderkey")).first()[0] or 0
+    ends = [last // 3, 2 * last // 3]
+    for number, part in enumerate((F.col("l_orderkey") <= ends[0], (F.col("l_orderkey") > ends[0]) & (F.col("l_orderkey") <= ends[1]), F.col("l_orderkey") > ends[1])):
+        # a line is an observation of its own place
+        said = {"l_suppkey": F.col("l_suppkey"), "l_partkey": F.col("l_partkey"), "l_shipdate": F.col("l_shipdate"), "title": F.concat("l_returnflag", "l_linestatus")}
+        alone = lines.where(part).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(n) for n, c in said.items()]).where("copies = 1")
+        seen = alone.select(
+            F.col("l_suppkey").cast("long").alias("source_id"), F.col("l_partkey").cast("string").alias("external_id"), F.concat(F.lit("/"), "l_partkey").alias("canonical_url"),
+            F.col("l_shipdate").cast("timestamp").alias("seen_at"), "title", "l_orderkey", "l_linenumber",
+        )
+        upserts.apply_run(target, seen, ["l_orderkey", "l_linenumber"], _CONTENT, transaction=("runs", number))
     return target.read().select("source_id", "external_id", "title", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "status", "missed")
 
 

@@ -20,8 +20,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again."""
     path, schema = shared_path(df.sparkSession, name), df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(schema).parquet(path)
