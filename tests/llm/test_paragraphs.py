@@ -156,3 +156,16 @@ def test_bands_reach_the_recall():
 
 def test_empty_table(nothing):
     assert paragraphs.repeated_paragraphs(nothing).count() == 0
+
+
+def test_the_query_has_every_repeated_paragraph(spark, tmp_path):
+    """A paragraph of 25 words in forty documents, a licence line in three and a word in two."""
+    shared = prose(25, 3)
+    texts = {i: f"{prose(20, 400 + i)}\n{shared}\n{prose(20, 800 + i)}" for i in range(40)}
+    texts |= {50 + k: f"{prose(40, 1200 + k)}\nLicensed under the Apache License, Version 2.0, by all of us here." for k in range(3)}
+    texts |= {60: f"Qwerty\n{prose(40, 1300)}", 61: f"{prose(40, 1301)}\nQwerty", 70: prose(60, 1400)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = paragraphs.op10_paragraph_dedup(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["paragraph"]): (r["keep_doc_id"], r["keep_paragraph"]) for r in rows} == brute(texts, least_words=0)
+    words = {i: max(r["passage_words"] for r in rows if r["doc_id"] == i) for i in {r["doc_id"] for r in rows}}
+    assert {i: words[i] for i in (50, 51, 52, 60, 61)} == {50: 12, 51: 12, 52: 12, 60: 1, 61: 1} and all(words[i] >= 25 for i in range(40)) and 70 not in words
