@@ -48,15 +48,6 @@ def ndcg(scored: DataFrame, group: str, key: str, score: str, relevance: str, k:
     return dcg([F.desc(score), F.col(key)], "got").join(ideal, group).select(group, F.round(F.when(F.col("ideal") > 0, F.col("got") / F.col("ideal")).otherwise(0.0), 6).alias("ndcg"))
 
 
-def percentiles(value: str) -> list[Column]:
-    """p95 by linear interpolation and by nearest rank, and the median, as aggregates."""
-    return [
-        F.percentile(value, F.lit(0.95)).alias("p95_linear"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_nearest"),
-        F.percentile(value, F.lit(0.5)).alias("p50"),
-    ]
-
-
 def ranked_values(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, below, times, n): each distinct value with the number of smaller ones and of its own, and of all.
 
@@ -67,9 +58,9 @@ def ranked_values(rows: DataFrame, group: str, value: str) -> DataFrame:
     sums = ranges.groupBy(group, "part").agg(F.sum("times").alias("size"))
     by_group = Window.partitionBy(group)
     before = F.coalesce(F.sum("size").over(by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(group, "part", before.alias("before"), F.sum("size").over(by_group).alias("n"))
+    offsets = sums.select(F.col(group).alias("_group"), F.col("part").alias("_part"), before.alias("before"), F.sum("size").over(by_group).alias("n"))
     inside = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = ranges.withColumn("inside", F.coalesce(F.sum("times").over(inside), F.lit(0))).join(offsets, [group, "part"])
+    numbered = ranges.withColumn("inside", F.coalesce(F.sum("times").over(inside), F.lit(0))).join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("part") == F.col("_part")))
     return numbered.select(group, value, (F.col("before") + F.col("inside")).alias("below"), "times", "n")
 
 
@@ -88,6 +79,24 @@ def percentiles_by_rank(rows: DataFrame, group: str, value: str, share: float =
     return found.select(group, (F.col("low") + (F.col("high") - F.col("low")) * between).alias("linear"), "nearest", "floor", ((F.col("half") + F.col("other_half")) / 2).alias("median"), "most")
 
 
+def percentiles(rows: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
+    """(group, linear, nearest, median) of every group, of any size, null for one without values: the percentile
+    interpolated between its neighbours, the one of the nearest rank, and the median."""
+    ranked = ranked_values(rows, group, value)
+    at = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("times")), F.col(value)))
+    last = F.col("n") - 1
+    ends = {"low": F.floor(last * share), "high": F.ceil(last * share), "half": F.floor(last * 0.5), "other_half": F.ceil(last * 0.5), "nearest": F.ceil(F.col("n") * share) - 1}
+    found = ranked.groupBy(F.col(group).alias("_group"), "n").agg(*[at(rank).alias(name) for name, rank in ends.items()])
+
+    def between(low: str, high: str, share: float) -> Column:
+        part = last * share - F.floor(last * share)
+        return F.when(part == 0, F.col(low)).otherwise(F.col(low) + (F.col(high) - F.col(low)) * part).cast("double")
+
+    told = found.select("_group", between("low", "high", share).alias("linear"), "nearest", between("half", "other_half", 0.5).alias("median"))
+    groups = rows.select(group).distinct()
+    return groups.join(told, groups[group].eqNullSafe(told["_group"]), "left").drop("_group")
+
+
 def distinct_sorted(value: str) -> Column:
     return F.array_sort(F.collect_set(value))
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -127,3 +128,19 @@ def test_classified_skills(spark):
 def test_distinct_sorted(spark):
     rows = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "x string")
     assert rows.agg(evaluate.distinct_sorted("x")).first()[0] == ["a", "b"]
+
+
+def test_percentiles_of_every_group_without_a_buffer_of_its_values(spark):
+    pick = random.Random(4)
+    values = {g: [pick.choice((pick.random() * 10, float(pick.randrange(4)))) for _ in range(n)] for g, n in (("a", 1), (None, 2), ("c", 21), ("d", 997))}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("c", None), ("none", None)]
+    made = evaluate.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v")
+    # no aggregate gathers values: what grows with a group is shuffled by ranges
+    assert not re.search("percentile|collect", made._jdf.queryExecution().optimizedPlan().toString())
+    found = {r["g"]: r for r in made.collect()}
+    assert found.keys() == {*values, "none"} and tuple(found["none"])[1:] == (None, None, None)
+    for g, vs in values.items():
+        s, n = sorted(vs), len(vs)
+        at = 0.95 * (n - 1)
+        linear = s[math.floor(at)] + (s[math.ceil(at)] - s[math.floor(at)]) * (at - math.floor(at))
+        assert abs(found[g]["linear"] - linear) < 1e-9 and found[g]["nearest"] == s[math.ceil(0.95 * n) - 1] and abs(found[g]["median"] - statistics.median(vs)) < 1e-9
