@@ -128,3 +128,15 @@ def test_contacts_are_redacted(spark):
 def test_most_years(spark):
     said = {"5 years, then 12+ yrs and 99 years": Decimal("12.0"), "2,5 năm\n1 year": Decimal("2.5"), "none": None, "120 years": None, "3yearsold": None}
     assert {t: one(spark, jobs.most_years, t) for t in said} == said
+
+
+def test_facts_look_at_a_text_a_bounded_number_of_times(spark):
+    frame = spark.createDataFrame([("Java lead", "Python; kafka a plus\nno sql: not required; salary from 1,000 USD to 2 million per month")], "title string, body string")
+    title, body = F.col("title"), F.col("body")
+    plan = lambda c: frame.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    assert plan(jobs.skills(title, body)).count("split(") == 1
+    for fact in (jobs.salary(body), jobs.experience(body)):
+        assert plan(fact).count("regexp_extract_all(") == 1
+    found = frame.select(jobs.skills(title, body).alias("s"), jobs.role(title, body)["role"].alias("r")).first()
+    assert [tuple(x) for x in found["s"]] == [("apache-kafka", "optional"), ("java", "required"), ("python", "required")] and found["r"] is None
